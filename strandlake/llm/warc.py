@@ -1,15 +1,16 @@
 """WARC archives: index first, then coalesced sorted byte-range reads of the selected records.
 
-Every page becomes a WARC/1.1 record; the first page of each payload is a response, later ones are revisit
-records that refer to it.  Pages are dealt into archives by a hash of the page id, and a record's offset follows
-from the lengths of those before it in its archive, so the index (archive, offset, length, URL, digest) is known
-and written before a single archive byte is.  A reader picks records from the index, sorts them by offset within
-their archive, joins neighbouring ranges and reads each joined range in one go.
+Every page becomes a WARC/1.1 record in a gzip member of its own; the first page of each payload is a response,
+later ones are revisit records that refer to it.  Each task writes its archives below the shared folder under a name
+of its own, so a task that runs again after a lost executor leaves no half-written archive in the index, and returns
+an index row for each record: archive, offset, length, URL and digest.  A reader picks records from the index alone,
+sorts them by offset within their archive, joins neighbouring ranges and reads each joined range in one go.
 """
 
 from __future__ import annotations
 
-import hashlib
+import gzip
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,8 @@ from strandlake.llm._spark import Scratch, table
 
 #: Smaller payloads are always stored as responses.
 LEAST_SHARED = 100
-#: Rows that an archive holds on average; the number of archives follows the table.
-ROWS_PER_ARCHIVE = 4000
+#: An archive that has grown to this size is closed and the next begun.
+ARCHIVE_BYTES = 1 << 30
 #: Ranges closer than GAP bytes are read as one, up to SPAN bytes.
 GAP, SPAN = 64 << 10, 8 << 20
 CRLF = "\r\n"
@@ -35,13 +36,12 @@ def records(pages: DataFrame) -> DataFrame:
     same record and get the same type.  Control characters in a URL are left out of its header.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    narrow = pages.select(F.col("page_id"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    first = narrow.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    keyed = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    rows = keyed.join(first, "digest", "left")
-    revisit = F.coalesce(F.col("page_id") > F.col("first_id"), F.lit(False))
-    rows = rows.withColumn("type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
-    return rows.withColumn("record", _record())
+    digest, size = F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes")
+    narrow = pages.select("page_id", digest, size).where(F.col("payload_bytes") >= LEAST_SHARED)
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = narrow.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
+    rows = pages.select("page_id", "url", html.alias("html"), digest, size).join(again, ["page_id", "digest"], "left")
+    return rows.withColumn("type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")).withColumn("record", _record())
 
 
 def _name(page_id: Column) -> Column:
@@ -62,52 +62,57 @@ def _record() -> Column:
     return F.concat(head, body)
 
 
-class Archives:
-    """Archives written below a folder, with their index as a table."""
-
-    def __init__(self, spark: SparkSession, path: str, index: DataFrame):
-        self.spark, self.path, self.index = spark, path, index
-
-    def files(self) -> DataFrame:
-        """archive, file: the one data file of each archive, as the file system lists them."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        found = root.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/archive=*/part-*"))
-        rows = [(int(p.getPath().getParent().getName().split("=")[1]), p.getPath().toString()) for p in found or []]
-        return self.spark.createDataFrame(rows, "archive int, file string")
-
-    def read(self, selected: DataFrame) -> DataFrame:
-        """page_id, type, refers_to, payload and digest header of the selected index rows, read from the archives."""
-        placed = selected.select("archive", "offset", "length").join(F.broadcast(self.files()), "archive")
-        # Neighbouring ranges join into spans: a new one starts after a gap, or when the span would outgrow SPAN.
-        order = Window.partitionBy("archive").orderBy("offset")
-        placed = placed.withColumn("gap", F.col("offset") - F.lag(F.col("offset") + F.col("length"), 1).over(order))
-        broken = F.sum(F.when(F.col("gap") > GAP, 1).otherwise(0)).over(order)
-        spans = placed.withColumn("run", broken).withColumn("part", (F.col("offset") / SPAN).cast("long")).groupBy("file", "run", "part").agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
-        return spans.select("file", "begin", "end", "ranges").mapInArrow(_read_spans, "page_id long, type string, refers_to long, payload binary, digest string, url string")
-
-
-def write(pages: DataFrame, name: str = "warc") -> Archives:
-    """Writes the index, then the archives, below the shared folder."""
-    spark = pages.sparkSession
-    scratch = Scratch(spark, name)
-    archives = max(1, -(-pages.count() // ROWS_PER_ARCHIVE))
-    rows = records(pages).withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int"))
-    staged = scratch.write(rows.select("page_id", "url", "digest", "type", "refers_to", "record", "archive").withColumn("length", F.octet_length("record").cast("long")), "staged")
-    order = Window.partitionBy("archive").orderBy(F.col("page_id"), "digest", "url")
-    total = F.sum(F.col("length") + len(CRLF) * 2).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    # Equal rows have equal lengths, so any order of them gives the same offsets.
-    index = scratch.write(staged.select("archive", "page_id", "url", "digest", "type", "refers_to", "length", F.coalesce(total, F.lit(0)).alias("offset")), "index")
-    # One task writes an archive, in the order of the index; the text writer ends every record as WARC asks.
-    body = staged.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "digest", "url").select("archive", "record")
-    body.write.partitionBy("archive").option("lineSep", CRLF * 2).option("maxRecordsPerFile", 0).text(scratch.path("archives"))
-    scratch.drop("staged")
-    return Archives(spark, scratch.path("archives"), index)
+def write(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """Writes the archives and then their index, which is returned."""
+    base = scratch.path("archives")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, folder = fs.FileSystem.from_uri(base)
+        where.create_dir(folder, recursive=True)
+        name, out, at = "", None, 0
+        for batch in batches:
+            files, offsets, lengths = [], [], []
+            for record in batch.column(batch.num_columns - 1).cast(pa.large_binary()):
+                if out is None or at >= ARCHIVE_BYTES:
+                    if out is not None:
+                        out.close()
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = where.open_output_stream(f"{folder}/{name}", compression=None)
+                member = gzip.compress(record.as_py() + b"\r\n\r\n", 6, mtime=0)
+                out.write(member)
+                files.append(name)
+                offsets.append(at)
+                lengths.append(len(member))
+                at += len(member)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(files, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=[*batch.schema.names[:-1], "archive", "offset", "length"])
+        if out is not None:
+            out.close()
+
+    rows = records(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "digest", "type", F.col("refers_to").cast("long").alias("refers_to"), "record")
+    return scratch.write(rows.mapInArrow(run, "page_id long, url string, digest string, type string, refers_to long, archive string, offset long, length long"), "index")
+
+
+def read(selected: DataFrame, scratch: Scratch) -> DataFrame:
+    """page_id, type, refers_to, payload, digest header and URL of the selected index rows, read from the archives."""
+    order = Window.partitionBy("archive").orderBy("offset")
+    gap = F.col("offset") - F.lag(F.col("offset") + F.col("length"), 1).over(order)
+    runs = selected.select("archive", "offset", "length").withColumn("run", F.sum(F.when(gap > GAP, 1).otherwise(0)).over(order))
+    # A run of neighbours is read as one range, but for a cut at every SPAN bytes.
+    spans = runs.groupBy("archive", "run", (F.col("offset") / SPAN).cast("long").alias("part")).agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+    base = scratch.path("archives")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _read_spans(base, batches)
+
+    dealt = spans.select("archive", "begin", "end", "ranges").repartition("archive", "begin")
+    return dealt.mapInArrow(run, "page_id long, type string, refers_to long, payload binary, digest string, url string")
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and body of one record; ValueError if it isn't one."""
-    head, sep, rest = raw.partition(b"\r\n\r\n")
+    head, sep, rest = raw.removesuffix(b"\r\n\r\n").partition(b"\r\n\r\n")
     lines = head.decode().split(CRLF)
     if not sep or lines[0] != "WARC/1.1":
         raise ValueError("no WARC record here")
@@ -122,19 +127,19 @@ def _page(name: str | None) -> int | None:
     return None if name in (None, "<urn:page:null>") else int(name[10:-1])
 
 
-def _read_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_spans(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
+    where, folder = fs.FileSystem.from_uri(base)
     schema = pa.schema([("page_id", pa.int64()), ("type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("digest", pa.string()), ("url", pa.string())])
     for batch in batches:
         for file, begin, end, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            where, path = fs.FileSystem.from_uri(file)
-            with where.open_input_file(path) as f:
+            with where.open_input_file(f"{folder}/{file}") as f:
                 block = f.read_at(end - begin, begin)
             rows = []
             for r in ranges:
                 at = r["offset"] - begin
-                fields, body = parse_record(block[at : at + r["length"]])
+                fields, body = parse_record(gzip.decompress(block[at : at + r["length"]]))
                 rows.append((_page(fields["WARC-Record-ID"]), fields["WARC-Type"], _page(fields.get("WARC-Refers-To")), body, fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Target-URI"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -156,9 +161,9 @@ def resolve(read: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    archives = write(pages)
-    return resolve(archives.read(archives.index), Scratch(spark, "warc-read"))
+    scratch = Scratch(spark, "warc")
+    index = write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch)
+    return resolve(read(index, scratch), scratch)
 
 
 OP4_SQL = """
