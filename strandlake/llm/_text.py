@@ -115,8 +115,8 @@ def shingles(word: np.ndarray, rows: np.ndarray, n_rows: int, k: int = 5) -> tup
         out[place] = splitmix(mixed[keep[: len(mixed)]])
     for r in np.flatnonzero((counts > 0) & ~long):
         w = word[ends[r] - counts[r] : ends[r]]
-        h = (w * _STEP[: len(w)]).sum(dtype=_U) + _STEP[32 + len(w)]
-        out[bounds[r]] = splitmix(np.array([h], dtype=_U))[0]
+        h = (w * _STEP[: len(w)]).sum(dtype=_U, keepdims=True) + _STEP[32 + len(w)]
+        out[bounds[r]] = splitmix(h)[0]
     return out, bounds
 
 
