@@ -199,6 +199,10 @@ def verify(pairs: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataF
     return left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
 def _cross(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of a heavy list, one of them out of light shingles, of different components, that size and sketch allow.
 
@@ -239,8 +243,10 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     scratch = Scratch(spark, "ngram-join")
     rows = scratch.write(sets(docs, percent, k), "sets")
     classes = scratch.write(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), "classes")
+    ids = scratch.write(rows.select("doc_id", "n", "k1", "k2"), "rows")
     mark = rows.where("n > 0").join(classes, (rows.k1 == classes.k1) & (rows.k2 == classes.k2) & (rows.n == classes.n) & (rows.doc_id == classes.id))
     reps = scratch.write(mark.select(rows.k1, rows.k2, "id", rows.n, "p", "kept", "sketch").dropDuplicates(["k1", "k2", "n"]).drop("k1", "k2"), "reps")
+    scratch.drop("sets")
 
     counts = scratch.write(reps.select(F.explode("kept").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "lists")
     shared = reps.select("id", "n", "p", F.size("kept").alias("size"), F.posexplode("kept").alias("i", "t")).join(counts, "t")
@@ -249,6 +255,11 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     shared = shared.withColumn("long", long).withColumn("heavy", F.col("size") - F.sum(F.col("long").cast("int")).over(own) < F.col("p")).withColumn("place", F.col("i") - F.coalesce(F.sum(F.col("long").cast("int")).over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     postings = scratch.write(shared.where("(long AND i < p) OR (NOT long AND (heavy OR place < p))").select("t", "id", "n", "place", "long", "heavy"), "postings")
 
+    # What later steps need of a set: its size and sketch, and of a small one its shingles.
+    brief = scratch.write(reps.select("id", "n", "sketch", F.when(F.col("n") <= MOST_SMALL, F.col("kept")).alias("kept")), "brief")
+    scratch.drop("reps")
+    reps = brief
+
     histogram = {r.n: r["count"] for r in reps.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
     mean = counts.where(F.col("len") <= LIST).agg(F.sum(F.col("len") * F.col("len")) / F.sum("len")).first()[0] or 1.0
     boundary = choose_boundary(histogram, mean, percent)
@@ -269,21 +280,21 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     starred = scratch.write(sketch_filter(leads[0].unionByName(leads[1]).unionByName(leads[2]).distinct(), reps, percent), "stars")
 
     first = candidates.select("a", "b").unionByName(starred.select("a", "b")).distinct()
-    involved = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(lists.select("id")).distinct()
-    tokens = scratch.write(whole_sets(docs, involved, k), "whole")
+    tokens = scratch.write(whole_sets(docs, _ends(first), k), "whole")
     links = scratch.write(verify(first, tokens, percent).unionByName(small_links(reps, boundary, percent)), "links")
     groups = components(links, scratch, "groups")
 
     named = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rest = scratch.write(_cross(named.join(reps.select("id", "n", "sketch"), "id"), percent), "rest")
+    scratch.drop("whole")
     if not rest.isEmpty():
-        more = scratch.write(verify(rest.join(first, ["a", "b"], "left_anti"), tokens, percent), "more")
+        rest = rest.join(first, ["a", "b"], "left_anti")
+        tokens = scratch.write(whole_sets(docs, _ends(rest), k), "whole-rest")
+        more = scratch.write(verify(rest, tokens, percent), "more")
         links = links.unionByName(more)
         groups = components(links, scratch, "all")
     joined = scratch.write(classes.join(groups, classes.id == groups.node, "left").select("k1", "k2", "n", "id", F.coalesce("component", "id").alias("component_id")), "result")
-    scratch.drop("reps", "postings", "whole")
-    ids = scratch.write(rows.select("doc_id", "n", "k1", "k2"), "rows")
-    scratch.drop("sets")
+    scratch.drop("brief", "postings", "whole-rest")
     out = ids.join(joined, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
