@@ -39,7 +39,9 @@ MOST_SMALL = 12
 SKETCH = 1024
 #: Leaders that a heavy list is linked to before what remains is compared in blocks.
 LEADERS = 3
-BLOCK_H, BLOCK_M = 256, 1024
+BLOCK_H, BLOCK_M = 4096, 4096
+#: Ids up to this number are broadcast to pick texts; more are joined by shuffle.
+BROADCAST_IDS = 250_000
 _U = np.uint64
 _MIX = stream(21, 8)
 
@@ -110,6 +112,8 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
                 out += [np.unique(s[bounds[r] : bounds[r + 1]]).tobytes() for r in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "tokens"])
 
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
     return texts.mapInArrow(run, "id long, tokens binary").dropDuplicates(["id"])
 
@@ -273,14 +277,12 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
 
     lists = postings.where("long")
     lists = scratch.write(lists.join(lists.where("heavy").select("t").distinct(), "t", "left_semi").select("t", "id", "heavy"), "heavy")
-    leads = []
-    for r in range(LEADERS):
-        lead = lists.where("heavy").groupBy("t").agg(F.min_by("id", F.xxhash64("id", F.lit(r))).alias("lead"))
-        leads.append(lists.join(lead, "t").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
-    starred = scratch.write(sketch_filter(leads[0].unionByName(leads[1]).unionByName(leads[2]).distinct(), reps, percent), "stars")
+    lead = lists.where("heavy").groupBy("t").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(r))) for r in range(LEADERS)])).alias("leads"))
+    led = lists.join(lead, "t").select("id", F.explode("leads").alias("lead")).where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    starred = scratch.write(sketch_filter(led, reps, percent), "stars")
 
     first = candidates.select("a", "b").unionByName(starred.select("a", "b")).distinct()
-    tokens = scratch.write(whole_sets(docs, _ends(first), k), "whole")
+    tokens = scratch.write(whole_sets(docs, scratch.write(_ends(first), "ends"), k), "whole")
     links = scratch.write(verify(first, tokens, percent).unionByName(small_links(reps, boundary, percent)), "links")
     groups = components(links, scratch, "groups")
 
@@ -289,7 +291,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     scratch.drop("whole")
     if not rest.isEmpty():
         rest = rest.join(first, ["a", "b"], "left_anti")
-        tokens = scratch.write(whole_sets(docs, _ends(rest), k), "whole-rest")
+        tokens = scratch.write(whole_sets(docs, scratch.write(_ends(rest), "ends-rest"), k), "whole-rest")
         more = scratch.write(verify(rest, tokens, percent), "more")
         links = links.unionByName(more)
         groups = components(links, scratch, "all")
