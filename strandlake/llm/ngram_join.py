@@ -6,7 +6,7 @@ Larger sets scan inverted lists of their prefix (enough of a set's shingles in a
 share one).  A list too long to pair up all its members is heavy: its shingle goes last in the order, and a
 set replaces it by its next light one.  Only sets that run out of light shingles (mostly members of large groups
 of near copies) are still looked up in heavy lists, after the groups have been drawn together by links to a few
-leaders; what then remains between different groups is compared in blocks.  No list, pair or set is left out.
+leaders and to their closest other groups; what then remains between different groups is compared in blocks.  No list, pair or set is left out.
 
 Pairs are thinned by exact bounds only (sizes, places of the shared shingles, and the parity sketch, whose
 differing bits never outnumber the differing shingles), then verified on the whole sets.
@@ -207,8 +207,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _cross(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a heavy list, one of them out of light shingles, of different components, that size and sketch allow.
+def _cross(members: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs of a heavy list, one of them out of light shingles, of different components, that size and sketch allow;
+    with best_only, for each such set the pair of least sketch difference with each other component.
 
     members: t, id, n, sketch, heavy, component.  Each side is dealt into blocks; a task sees one block of each.
     """
@@ -226,7 +227,12 @@ def _cross(members: DataFrame, percent: int) -> DataFrame:
             for i, n, c, s in zip(left["id"], left["n"], left["component"], left["sketch"], strict=True):
                 at = np.flatnonzero((rc != c) & (np.minimum(rn, n) * 100 >= np.maximum(rn, n) * percent))
                 common = -(-percent * (rn[at] + n) // (100 + percent))
-                at = at[np.bitwise_count(rs[at] ^ np.frombuffer(s, dtype=_U)).sum(axis=1, dtype=np.int64) <= rn[at] + n - 2 * common]
+                differ = np.bitwise_count(rs[at] ^ np.frombuffer(s, dtype=_U)).sum(axis=1, dtype=np.int64)
+                keep = differ <= rn[at] + n - 2 * common
+                at, differ = at[keep], differ[keep]
+                if best_only and len(at) > 1:
+                    order = np.lexsort((rid[at], differ, rc[at]))
+                    at = at[order][np.append(True, rc[at][order][1:] != rc[at][order][:-1])]
                 out_a.append(np.minimum(rid[at], i))
                 out_b.append(np.maximum(rid[at], i))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -286,17 +292,24 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     links = scratch.write(verify(first, tokens, percent).unionByName(small_links(reps, boundary, percent)), "links")
     groups = components(links, scratch, "groups")
 
-    named = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = scratch.write(_cross(named.join(reps.select("id", "n", "sketch"), "id"), percent), "rest")
+    # What is left between different groups: first the closest pairs, which draw the groups together, then all.
     scratch.drop("whole")
-    if not rest.isEmpty():
-        rest = rest.join(first, ["a", "b"], "left_anti")
-        tokens = scratch.write(whole_sets(docs, scratch.write(_ends(rest), "ends-rest"), k), "whole-rest")
-        more = scratch.write(verify(rest, tokens, percent), "more")
-        links = links.unionByName(more)
-        groups = components(links, scratch, "all")
+    for best_only in (True, False):
+        step = "closest" if best_only else "rest"
+        named = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        left = _cross(named.join(reps.select("id", "n", "sketch"), "id"), percent, best_only).join(first, ["a", "b"], "left_anti")
+        left = scratch.write(left, step)
+        if left.isEmpty():
+            break
+        first = first.unionByName(left)
+        tokens = scratch.write(whole_sets(docs, scratch.write(_ends(left), f"ends-{step}"), k), f"whole-{step}")
+        more = scratch.write(verify(left, tokens, percent), f"more-{step}")
+        scratch.drop(f"whole-{step}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            groups = components(links, scratch, f"groups-{step}")
     joined = scratch.write(classes.join(groups, classes.id == groups.node, "left").select("k1", "k2", "n", "id", F.coalesce("component", "id").alias("component_id")), "result")
-    scratch.drop("brief", "postings", "whole-rest")
+    scratch.drop("brief", "postings")
     out = ids.join(joined, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
