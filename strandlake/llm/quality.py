@@ -23,7 +23,7 @@ from strandlake.llm.langid import held_out
 
 BITS = 18
 #: Labelled rows that a model is fitted on, at most; chosen by a hash of the key.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: A score at or above it is quality 1.
 THRESHOLD = 0.7
 _U = np.uint64
@@ -101,11 +101,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = 3, alpha: float = 0.5
     """FTRL-proximal with per-coordinate rates, one text at a time.  Without rows, every score is one half."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    raw = [t.encode() for t in texts]
     rows = []
-    for r in raw:
+    for r in (t.encode() for t in texts):
         ids, x, _ = features(np.frombuffer(r, dtype=np.uint8), np.array([0, len(r)]))
-        rows.append((np.append(ids, size), np.append(x, 1.0)))
+        rows.append((np.append(ids, size).astype(np.int32), np.append(x, 1.0).astype(np.float32)))
 
     def weights(ids: np.ndarray | slice) -> np.ndarray:
         zi = z[ids]
