@@ -6,7 +6,7 @@ Larger sets scan inverted lists of their prefix (enough of a set's shingles in a
 share one).  A list too long to pair up all its members is heavy: its shingle goes last in the order, and a
 set replaces it by its next light one.  Only sets that run out of light shingles (mostly members of large groups
 of near copies) are still looked up in heavy lists, after the groups have been drawn together by links to a few
-leaders and to their closest other groups; what then remains between different groups is compared in blocks.  No list, pair or set is left out.
+leaders and between their members; what then remains between different groups is compared in blocks.  No list, pair or set is left out.
 
 Pairs are thinned by exact bounds only (sizes, places of the shared shingles, and the parity sketch, whose
 differing bits never outnumber the differing shingles), then verified on the whole sets.
@@ -207,9 +207,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _cross(members: DataFrame, percent: int, best_only: bool) -> DataFrame:
+def _cross(members: DataFrame, percent: int, pick: str) -> DataFrame:
     """Pairs of a heavy list, one of them out of light shingles, of different components, that size and sketch allow;
-    with best_only, for each such set the pair of least sketch difference with each other component.
+    pick is "all" or, for one pair of each such set only, "hub" (the partner of least id) or "closest" (by sketch).
 
     members: t, id, n, sketch, heavy, component.  Each side is dealt into blocks; a task sees one block of each.
     """
@@ -230,9 +230,8 @@ def _cross(members: DataFrame, percent: int, best_only: bool) -> DataFrame:
                 differ = np.bitwise_count(rs[at] ^ np.frombuffer(s, dtype=_U)).sum(axis=1, dtype=np.int64)
                 keep = differ <= rn[at] + n - 2 * common
                 at, differ = at[keep], differ[keep]
-                if best_only and len(at) > 1:
-                    order = np.lexsort((rid[at], differ, rc[at]))
-                    at = at[order][np.append(True, rc[at][order][1:] != rc[at][order][:-1])]
+                if pick != "all" and len(at) > 1:
+                    at = at[np.lexsort((rid[at], differ if pick == "closest" else rid[at]))[:1]]
                 out_a.append(np.minimum(rid[at], i))
                 out_b.append(np.maximum(rid[at], i))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -292,12 +291,11 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     links = scratch.write(verify(first, tokens, percent).unionByName(small_links(reps, boundary, percent)), "links")
     groups = components(links, scratch, "groups")
 
-    # What is left between different groups: first the closest pairs, which draw the groups together, then all.
+    # What is left between different groups: first a pair for each set, which draws the groups together, then all.
     scratch.drop("whole")
-    for best_only in (True, False):
-        step = "closest" if best_only else "rest"
+    for step in ("hub", "closest", "all"):
         named = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        left = _cross(named.join(reps.select("id", "n", "sketch"), "id"), percent, best_only).join(first, ["a", "b"], "left_anti")
+        left = _cross(named.join(reps.select("id", "n", "sketch"), "id"), percent, step).join(first, ["a", "b"], "left_anti")
         left = scratch.write(left, step)
         if left.isEmpty():
             break
