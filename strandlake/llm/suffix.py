@@ -322,10 +322,22 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
             for i, j in blocks(offsets):
                 o = offsets[i : j + 1] - offsets[i]
                 a, s, row, lo, hi, _ = anchors(data[offsets[i] : offsets[j]], o, size)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[i:j][row].astype(np.int64)), pa.array((lo - o[row]).astype(np.int32)), pa.array((hi - o[row]).astype(np.int32))], names=["a", "s", "doc_id", "lo", "hi"])
+                order = np.lexsort((lo, s, a, row))
+                a, s, row, lo, hi = a[order], s[order], row[order], lo[order], hi[order]
+                # A segment that stands earlier in its own document is settled here: its windows go.
+                again = np.append(False, (row[1:] == row[:-1]) & (a[1:] == a[:-1]) & (s[1:] == s[:-1]))[: len(row)]
+                r, x, y = row[again], lo[again], hi[again]
+                by_place = np.argsort(x, kind="stable")
+                r, x, y = r[by_place], x[by_place], y[by_place]
+                edge = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (x[1:] != y[:-1] + 1))) if len(r) else np.zeros(0, np.int64)
+                last = np.append(edge[1:], len(r))[: len(edge)] - 1
+                a, s = np.append(a[~again], np.zeros(len(edge), _U)), np.append(s[~again], np.zeros(len(edge), _U))
+                row, lo, hi = np.append(row[~again], r[edge]), np.append(lo[~again], x[edge]), np.append(hi[~again], y[last])
+                settled = np.append(np.zeros(len(row) - len(edge), dtype=bool), np.ones(len(edge), dtype=bool))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[i:j][row].astype(np.int64)), pa.array((lo - o[row]).astype(np.int32)), pa.array((hi - o[row]).astype(np.int32)), pa.array(settled)], names=["a", "s", "doc_id", "lo", "hi", "settled"])
 
     texts = docs.where("doc_id IS NOT NULL AND octet_length(text) >= " + str(size)).select("doc_id", "text")
-    return texts.mapInArrow(run, "a long, s long, doc_id long, lo int, hi int")
+    return texts.mapInArrow(run, "a long, s long, doc_id long, lo int, hi int, settled boolean")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -375,7 +387,9 @@ def repeated_starts(docs: DataFrame, size: int = SIZE, scratch: Scratch | None =
     """doc_id and inclusive ranges lo..hi of the window starts that an equal window precedes."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = scratch.write(_anchor_rows(docs, size), "anchors")
+    rows = scratch.write(_anchor_rows(docs, size), "anchors")
+    within = scratch.write(rows.where("settled").select("doc_id", "lo", "hi"), "within")
+    every = rows.where("NOT settled").drop("settled")
     often = every.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
     shared = scratch.write(every.join(often, "a"), "shared")
     scratch.drop("anchors")
@@ -397,7 +411,7 @@ def repeated_starts(docs: DataFrame, size: int = SIZE, scratch: Scratch | None =
     leads = found.where("digest IS NOT NULL")
     least = leads.groupBy("digest").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
     across = leads.join(least, "digest").where(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "lo", "hi")
-    return alike.unionByName(again).unionByName(found.where("digest IS NULL").select("doc_id", "lo", "hi")).unionByName(across)
+    return within.unionByName(alike).unionByName(again).unionByName(found.where("digest IS NULL").select("doc_id", "lo", "hi")).unionByName(across)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, keep_text: bool = False, **options) -> DataFrame:
