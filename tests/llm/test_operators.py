@@ -22,7 +22,9 @@ def test_sharding(docs):
     assert len(got) == len(ROWS) and all(r.size == len((r.text or "").encode()) + 1 for r in got)
     for k in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
-    assert len({r.shard for r in got if r.doc_id in (1, 2)}) == 1
+    more = docs.sparkSession.createDataFrame([(i, f"text {i // 2}") for i in range(200)], "doc_id long, text string")
+    shard_of = {r.doc_id: r.shard for r in sharding.shard(more, 3).collect()}
+    assert all(shard_of[i] == shard_of[i + 1] for i in range(0, 200, 2))
     assert sharding.shard(docs.limit(0), 3).count() == 0
 
 
