@@ -504,6 +504,14 @@ def embl_parse(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation").select(TREE.parse_embl(text).alias("r")).select("r.id", "r.description", "r.sequence", "r.accession")
 
 
+@query("SELECT 'ACC' || n_nationkey AS id, n_name AS description, 'ACGTACGT' AS sequence FROM nation UNION ALL SELECT 'g' || n_nationkey, n_name || ' part', 'CGTA' FROM nation")
+def genbank_features(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("LOCUS       N"), key, F.lit(" 8 bp DNA\nDEFINITION  "), "n_name", F.lit("\nACCESSION   ACC"), key, F.lit('\nFEATURES             Location/Qualifiers\n     CDS             2..5\n                     /gene="g'), key, F.lit('"\n                     /product="'), "n_name", F.lit(' part"\nORIGIN\n        1 acgtacgt\n//'))
+    records = read(spark, d, "nation").select(TREE.parse_genbank(text).alias("r")).select("r.*")
+    return TREE.genbank_to_fasta(records, include_features=True)
+
+
 # Alignment: every nation's name against its region's
 
 

@@ -228,8 +228,25 @@ def test_genbank():
         TREE.genbank_record("nothing")
 
 
+def test_flat_files_to_fasta(spark):
+    genbank = 'LOCUS       SEQ1   12 bp DNA\nDEFINITION  A test\nACCESSION   AC1\nFEATURES             Location/Qualifiers\n     CDS             complement(2..7)\n                     /gene="abc"\n                     /product="thing"\n     source          1..12\nORIGIN\n        1 acgtacgtac gt\n//\n'
+    embl = "ID   X1; SV 1; linear; DNA; STD; UNC; 8 BP.\nDE   First\nDE   second\nSQ   Sequence 8 BP;\n     acgtacgt                 8\n//"
+    df = spark.createDataFrame([(genbank, embl)], "g string, e string").select(TREE.parse_genbank(F.col("g")).alias("g"), TREE.parse_embl(F.col("e")).alias("e"))
+    rows = [tuple(r) for r in TREE.genbank_to_fasta(df.select("g.*"), include_features=True).collect()]
+    assert sorted(rows) == [("AC1", "A test", "ACGTACGTACGT"), ("abc", "thing", "CGTACG")]
+    assert tuple(TREE.embl_to_fasta(df.select("e.*")).first()) == ("X1", "First second", "ACGTACGT")
+
+
+def test_vcf_header(spark):
+    text = L.format_vcf_header("VCFv4.2", [{"ID": "20", "length": "62435964"}], [{"ID": "DP", "Number": "1", "Type": "Integer", "Description": "Depth, total"}], [], [], ["a", "b"])
+    rows = {r.kind: r for r in L.parse_vcf_header(lines(spark, *text, "20\t1\t.\tA\tC\t.\t.\t.")).collect()}
+    assert set(rows) == {"fileformat", "contig", "info", "samples"}
+    assert rows["contig"].fields["length"] == "62435964" and rows["info"].fields["Description"] == "Depth, total"
+    assert rows["samples"]["values"] == ["a", "b"] and rows["fileformat"]["values"] == ["VCFv4.2"]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["complements", "kmer_count", "minimizers", "graph_stats", "six_frames", "orfs", "seq_stats", "fastq_roundtrip", "gff_roundtrip", "cigar_aligned", "newick_stats"])
+@pytest.mark.parametrize("name", ["complements", "kmer_count", "minimizers", "graph_stats", "six_frames", "orfs", "seq_stats", "fastq_roundtrip", "gff_roundtrip", "cigar_aligned", "newick_stats", "genbank_features"])
 def test_catalogue(spark, name):
     import duckdb
 
