@@ -304,8 +304,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
         more = scratch.write(verify(left, tokens, percent), f"more-{step}")
         scratch.drop(f"whole-{step}")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = components(links, scratch, f"groups-{step}")
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, f"groups-{step}")
     joined = scratch.write(classes.join(groups, classes.id == groups.node, "left").select("k1", "k2", "n", "id", F.coalesce("component", "id").alias("component_id")), "result")
     scratch.drop("brief", "postings")
     out = ids.join(joined, ["k1", "k2", "n"], "left")
