@@ -211,13 +211,23 @@ def _cross(members: DataFrame, percent: int, pick: str) -> DataFrame:
     """Pairs of a heavy list, one of them out of light shingles, of different components, that size and sketch allow;
     pick is "all" or, for one pair of each such set only, "hub" (the partner of least id) or "closest" (by sketch).
 
-    members: t, id, n, sketch, heavy, component.  Each side is dealt into blocks; a task sees one block of each.
+    members: t, id, n, sketch, heavy, component.  Of each list, the heavy of its largest component (part 0) meet the light
+    of the others, as they are one component among themselves, and the heavy of the others (part 1) meet all.  Each
+    side is dealt into blocks; a task sees one block of each.
     """
-    size = members.groupBy("t").agg(F.ceil(F.sum(F.col("heavy").cast("int")) / BLOCK_H).cast("int").alias("bh"), F.ceil(F.count(F.lit(1)) / BLOCK_M).cast("int").alias("bm"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    open_ = members.join(size.where("c0 <> c1 AND bh > 0").drop("c0", "c1"), "t")
-    h = open_.where("heavy").withColumn("h", F.pmod(F.xxhash64("id"), F.col("bh")).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("bm") - 1)))
-    m = open_.withColumn("m", F.pmod(F.xxhash64("id", F.lit(1)), F.col("bm")).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("bh") - 1)))
-    columns = ["t", "h", "m", "id", "n", "sketch", "component"]
+    own = members.groupBy("t", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("heavy").cast("long")).alias("h"))
+    size = own.groupBy("t").agg(F.max(F.struct("c", "component", "h")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum("h").alias("h")).where("k > 1 AND h > 0")
+    h0, h1, m1 = F.col("top.h"), F.col("h") - F.col("top.h"), F.col("c")
+    m0 = F.col("c") - F.col("top.c") - h1
+    many = lambda rows, block: F.ceil(rows / block).cast("int")
+    size = size.select("t", F.col("top.component").alias("main"), *[F.when((h > 0) & (m > 0), F.struct(many(h, BLOCK_H).alias("bh"), many(m, BLOCK_M).alias("bm"))).alias(f"part{i}") for i, (h, m) in enumerate(((h0, m0), (h1, m1)))])
+    open_ = members.join(size.where("part0 IS NOT NULL OR part1 IS NOT NULL"), "t").withColumn("rest", F.col("component") != F.col("main"))
+    blocks_of = F.when(F.col("part") == 0, F.col("part0")).otherwise(F.col("part1"))
+    h = open_.where("heavy").withColumn("part", F.col("rest").cast("int")).withColumn("b", blocks_of).where("b IS NOT NULL")
+    h = h.withColumn("h", F.pmod(F.xxhash64("id"), F.col("b.bh")).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("b.bm") - 1)))
+    m = open_.withColumn("part", F.explode(F.when(F.col("rest") & ~F.col("heavy"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))).withColumn("b", blocks_of).where("b IS NOT NULL")
+    m = m.withColumn("m", F.pmod(F.xxhash64("id", F.lit(1)), F.col("b.bm")).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("b.bh") - 1)))
+    columns = ["t", "part", "h", "m", "id", "n", "sketch", "component"]
 
     def run(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
@@ -237,7 +247,7 @@ def _cross(members: DataFrame, percent: int, pick: str) -> DataFrame:
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pd.DataFrame({"a": cat(out_a), "b": cat(out_b)})
 
-    return h.select(columns).groupBy("t", "h", "m").cogroup(m.select(*[F.col(c).alias(f"m_{c}") for c in columns]).groupBy("m_t", "m_h", "m_m")).applyInPandas(run, "a long, b long").distinct()
+    return h.select(columns).groupBy("t", "part", "h", "m").cogroup(m.select(*[F.col(c).alias(f"m_{c}") for c in columns]).groupBy("m_t", "m_part", "m_h", "m_m")).applyInPandas(run, "a long, b long").distinct()
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:

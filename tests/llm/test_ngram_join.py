@@ -72,3 +72,18 @@ def test_edges(spark):
 def test_boundary_follows_cost():
     assert ngram_join.choose_boundary({8: 100}, 1000.0) >= 8
     assert ngram_join.choose_boundary({12: 100}, 0.1) < 12
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_blocks_miss_no_pair(spark, monkeypatch, block):
+    """All pairs of a list between components, of which at least one is heavy, whatever the blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_H", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_M", block)
+    rng = random.Random(3)
+    sketch, members = bytes(ngram_join.SKETCH // 8), []
+    for t in range(6):
+        members += [(t, 100 * t + i, 50, sketch, rng.random() < (0, 0.3, 0.6, 1)[t % 4], rng.choice((7, 7, 7, 8, 9)[: t + 1])) for i in range(12)]
+    schema = "t long, id long, n int, sketch binary, heavy boolean, component long"
+    got = ngram_join._cross(spark.createDataFrame(members, schema), ngram_join.PERCENT, "all")
+    want = {(x[1], y[1]) for x in members for y in members if x[0] == y[0] and x[1] < y[1] and x[5] != y[5] and (x[4] or y[4])}
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
