@@ -305,10 +305,14 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     scratch.drop("whole")
     for step in ("hub", "closest", "all"):
         named = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        left = _cross(named.join(reps.select("id", "n", "sketch"), "id"), percent, step).join(first, ["a", "b"], "left_anti")
-        left = scratch.write(left, step)
-        if left.isEmpty():
+        found = scratch.write(_cross(named.join(reps.select("id", "n", "sketch"), "id"), percent, step), f"found-{step}")
+        if found.isEmpty():
             break
+        # Picks that were all compared before say nothing of the other pairs: the next step looks on.
+        left = scratch.write(found.join(first, ["a", "b"], "left_anti"), step)
+        scratch.drop(f"found-{step}")
+        if left.isEmpty():
+            continue
         first = first.unionByName(left)
         tokens = scratch.write(whole_sets(docs, scratch.write(_ends(left), f"ends-{step}"), k), f"whole-{step}")
         more = scratch.write(verify(left, tokens, percent), f"more-{step}")

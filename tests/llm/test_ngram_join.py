@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import ngram_join
 
@@ -87,3 +88,24 @@ def test_blocks_miss_no_pair(spark, monkeypatch, block):
     got = ngram_join._cross(spark.createDataFrame(members, schema), ngram_join.PERCENT, "all")
     want = {(x[1], y[1]) for x in members for y in members if x[0] == y[0] and x[1] < y[1] and x[5] != y[5] and (x[4] or y[4])}
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_failed_picks_hide_no_link(spark, monkeypatch):
+    """b, the only leader, is the least and by sketch the closest partner of a and c, but links to neither; a and c are a link."""
+    monkeypatch.setattr(ngram_join, "LIST", 2)
+    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    r = random.Random(96)
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base = make(404)
+    a, b, c = list(base), base + make(6), list(base)
+    for k in range(11):
+        at = 10 + 35 * k
+        b[at] = make(1)[0]
+        (a if k < 6 else c)[at] = make(1)[0]
+    least = spark.range(1, 50).orderBy(F.xxhash64("id", F.lit(0))).first().id
+    rows = [(least, " ".join(b)), (least + 50, " ".join(a)), (least + 51, " ".join(c))]
+    hashes = {x.id: x.h for x in spark.createDataFrame(rows, "id long, text string").select("id", F.xxhash64("id", F.lit(0)).alias("h")).collect()}
+    assert min(hashes, key=hashes.get) == least
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert {x[2] for x in want} == {least, least + 50} and got == want
