@@ -13,12 +13,12 @@ from strandlake.llm._spark import Scratch, table, tune
 from strandlake.llm.bpe import tokenize
 from strandlake.llm.mixing import mix
 from strandlake.llm.ngram_join import join_components
-from strandlake.llm.quality import score, train
+from strandlake.llm.quality import THRESHOLD, score, train
 from strandlake.llm.suffix import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The classifier rejects a document below this score; the doubtful stay.
-REJECT_BELOW = 0.3
+#: The stage rejects a document below this score: the classifier's own decision.
+REJECT_BELOW = THRESHOLD
 #: Share of the tokens that mixing keeps.
 BUDGET = 0.7
 
