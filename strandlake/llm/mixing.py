@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed into cells of (source, language, topic); the cells are raked in turn to each
-of the three marginals until they agree; the ratio of raked to observed tokens is a document's weight,
+of the three marginals for a number of rounds, and what then remains of error is tested; the ratio of raked to observed tokens is a document's weight,
 and a scale found exactly from the cells turns weights into inclusion probabilities that spend the token
 budget.  Everything is DataFrame windows and aggregates: the documents are aggregated once before any
 exchange, and the rounds work on cells alone.
@@ -9,6 +9,7 @@ exchange, and the rounds work on cells alone.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +20,8 @@ from strandlake.llm._spark import Scratch, table
 KEYS = ("source", "lang", "topic")
 #: Rounds of raking over the three marginals; a round after convergence changes nothing.
 ROUNDS = 12
+#: Share of all tokens by which a marginal may miss its target after the rounds without a warning.
+TOLERANCE = 1e-6
 #: Letters whose relative frequency names a document's topic (the tables have no topic column).
 TOPIC_LETTERS = "anostr"
 NONE = "(none)"
@@ -44,18 +47,35 @@ def softened(total: Column, power: float) -> Column:
     return F.pow(total.cast("double"), F.lit(power))
 
 
-def rake(cells: DataFrame, power: Mapping[str, float], rounds: int = ROUNDS, scratch: Scratch | None = None, every: int = 6) -> DataFrame:
+def given(key: str, weights: Mapping[str | None, float]) -> Column:
+    """The weight given for a group, 0 if there is none."""
+    if not weights or min(weights.values()) < 0 or not 0 < sum(weights.values()) < float("inf"):
+        raise ValueError(f"target weights of {key} must be 0 or more, and one at least above")
+    out = F.when(F.lit(False), F.lit(0.0))
+    for group, w in weights.items():
+        out = out.when(F.col(key) == (NONE if group is None else group), F.lit(float(w)))
+    return out.otherwise(0.0)
+
+
+def marginal_error(raked: DataFrame) -> float:
+    """The most by which a group's raked tokens miss its target, as a share of all tokens; 0 without tokens."""
+    gaps = raked.where("grand > 0").select("grand", *[(F.abs(F.sum("goal").over(Window.partitionBy(k)) - F.col(f"target_{k}")) / F.col("grand")).alias(f"gap_{k}") for k in KEYS])
+    return gaps.agg(F.max(F.greatest(*[f"gap_{k}" for k in KEYS]))).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, power: Mapping[str, float], rounds: int = ROUNDS, scratch: Scratch | None = None, every: int = 6, targets: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
     """Adds `goal`, the raked tokens of each cell, to cells of (source, lang, topic, tokens).
 
     The target marginal of a key is its token share raised to power[key] and normalised (1 keeps the
-    share, 0 makes the groups equal).  Cells without tokens keep the goal 0.
+    share, 0 makes the groups equal), or, for a key in targets, the weight given for each of its groups, normalised over
+    those that occur (None names the null group; a group without a weight gets none).  Cells without tokens keep the goal 0.
     """
     everywhere = Window.partitionBy()
     grand = F.sum("tokens").over(everywhere).cast("double")
     out = cells.withColumn("goal", F.col("tokens").cast("double")).withColumn("grand", grand)
     for k in KEYS:
         share = F.sum("tokens").over(Window.partitionBy(k))
-        out = out.withColumn(f"soft_{k}", softened(share, power[k])).withColumn(f"n_{k}", F.row_number().over(Window.partitionBy(k).orderBy(*KEYS)))
+        out = out.withColumn(f"soft_{k}", given(k, targets[k]) if targets and k in targets else softened(share, power[k])).withColumn(f"n_{k}", F.row_number().over(Window.partitionBy(k).orderBy(*KEYS)))
         out = out.withColumn(f"target_{k}", F.col("grand") * F.col(f"soft_{k}") / F.sum(F.when(F.col(f"n_{k}") == 1, F.col(f"soft_{k}"))).over(everywhere)).drop(f"soft_{k}", f"n_{k}")
     for i in range(rounds):
         for k in KEYS:
@@ -70,7 +90,8 @@ def calibrate(cells: DataFrame, budget: float) -> DataFrame:
     """Adds `p`, each cell's inclusion probability min(1, scale * goal / tokens), with sum(p * tokens) = budget * tokens.
 
     The scale is exact: with the cells sorted by weight from the top, the first j are certain, and j is
-    the least for which the scale that spends the rest of the budget keeps the next one at 1 or less.
+    the least for which the scale that spends the rest of the budget keeps the next one at 1 or less.  If the cells
+    with a goal hold less than the budget, all of them are certain.
     """
     weight = F.when(F.col("tokens") > 0, F.col("goal") / F.col("tokens")).otherwise(0.0)
     down = Window.partitionBy().orderBy(F.col("weight").desc(), *KEYS)
@@ -82,7 +103,7 @@ def calibrate(cells: DataFrame, budget: float) -> DataFrame:
     out = out.withColumn("scale", scale)
     good = F.when((F.col("scale") > 0) & (F.col("scale") * F.col("weight") <= 1 + 1e-12), F.col("scale"))
     chosen = F.max(good).over(Window.partitionBy())
-    return out.withColumn("p", F.when(F.col("tokens") == 0, F.lit(float(budget))).otherwise(F.least(F.lit(1.0), F.coalesce(chosen, F.lit(0.0)) * F.col("weight"))))
+    return out.withColumn("p", F.when(F.col("tokens") == 0, F.lit(float(budget))).when(chosen.isNull() & (F.col("weight") > 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(chosen, F.lit(0.0)) * F.col("weight"))))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -90,15 +111,20 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, budget: float = 0.5, power: Mapping[str, float] | None = None, seed: int = 17, topic: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, budget: float = 0.5, power: Mapping[str, float] | None = None, seed: int = 17, topic: Column | None = None, rounds: int = ROUNDS, targets: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
     """Adds topic, tokens, weight, probability and sampled to every document.
 
+    targets: explicit weights by key and group, in place of the key's power.  A warning tells if the marginals still
+    miss their targets after the rounds, as they must if cells that they need don't occur.
+
     Null source, lang or topic form a group of their own.  Null and empty texts have no tokens: weight 0,
     probability `budget`.  Repeated rows get equal values.  An empty table gives no rows.  Input columns
     named like the added ones are replaced.
     """
     spark = docs.sparkSession
     power = power or {"source": 0.5, "lang": 0.5, "topic": 0.75}
+    if unknown := set(targets or ()) - set(KEYS):
+        raise ValueError(f"no such keys: {sorted(unknown)}")
     scratch = Scratch(spark, "mixing")
     added = ("topic", "tokens", "weight", "probability", "sampled", "k_source", "k_lang", "k_topic")
     own = [c for c in docs.columns if c not in added]
@@ -110,7 +136,10 @@ def mix(docs: DataFrame, budget: float = 0.5, power: Mapping[str, float] | None
         F.coalesce(F.col("lang"), F.lit(NONE)).alias("k_lang"),
     )
     cells = keyed.groupBy(F.col("k_source").alias("source"), F.col("k_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
-    cells = calibrate(rake(scratch.write(cells, "cells"), power, rounds, scratch), budget)
+    raked = scratch.write(rake(scratch.write(cells, "cells"), power, rounds, scratch, targets=targets), "raked")
+    if (error := marginal_error(raked)) > TOLERANCE:
+        warnings.warn(f"after {rounds} rounds a marginal misses its target by {error:.2g} of all tokens", stacklevel=2)
+    cells = calibrate(raked, budget)
     cells = scratch.write(cells.select(F.col("source").alias("k_source"), F.col("lang").alias("k_lang"), F.col("topic").alias("k_topic"), "weight", "p"), "calibrated")
     out = keyed.withColumn("k_topic", F.col("topic")).join(cells, ["k_source", "k_lang", "k_topic"])
     return out.select(*own, "topic", "tokens", "weight", F.col("p").alias("probability"), (uniform(F.col("doc_id"), seed) < F.col("p")).alias("sampled"))

@@ -109,3 +109,21 @@ def test_mixing(docs):
     spent = sum(r.tokens * r.probability for r in mixing.mix(docs, 0.5).collect())
     assert spent == pytest.approx(0.5 * sum(r.tokens for r in got.values()))
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_to_given_targets(spark):
+    rows = [(i, "an " * (1 + i % 5), "en de".split()[i % 2], "aab"[i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, 0.5, targets={"source": {"a": 1, "b": 3}, "lang": {"en": 2, "de": 3}}).collect()
+    share = lambda key, group: sum(r.weight * r.tokens for r in got if r[key] == group) / sum(r.tokens for r in got)
+    assert share("source", "b") == pytest.approx(0.75) and share("lang", "en") == pytest.approx(0.4)
+    only = {r.doc_id: r.probability for r in mixing.mix(docs, 0.9, targets={"source": {"a": 1}}).collect()}
+    assert all(only[i] == (0 if source == "b" else 1) for i, _, _, source in rows)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"source": {"a": 0}})
+
+
+def test_mixing_tells_unmet_targets(spark):
+    docs = spark.createDataFrame([(1, "an", "en", "a"), (2, "an", "de", "b")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="misses its target by 0.25"):
+        mixing.mix(docs, targets={"source": {"a": 1, "b": 1}, "lang": {"en": 1, "de": 3}})
