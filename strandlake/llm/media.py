@@ -218,13 +218,14 @@ def padded(raw: bytes, block: int = BLOCK) -> bytes:
     return raw.ljust(max(block, -(-len(raw) // block) * block), b" ")
 
 
-def media_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = False) -> DataFrame:
-    """Stores each row's text as a stream and reads it back; with keep_media, the stream is a column.
+def media_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = False, keep_index: bool = False) -> DataFrame:
+    """Stores each row's text as a stream and reads it back; with keep_media, the stream is a column; with keep_index,
+    so are pts, the time stamp of each access unit, and random_access, the time stamp and packet of each access point.
 
     Null text is empty and stores 192 spaces.  Null keys and repeated rows give a row each, equal texts equal
     values; an empty table gives no rows.  Only the key and the derived columns are returned, so no name clashes.
     """
-    schema = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())] + [("media", pa.binary())] * keep_media)
+    schema = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())] + [("media", pa.binary())] * keep_media + [("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64())])))] * keep_index)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,11 +235,11 @@ def media_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_me
                 stored = mux(padded(raw))
                 got = demux(stored)
                 back = got.payload
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(got), *([stored] if keep_media else ())))
+                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(got), *([stored] if keep_media else ()), *([got.pts, [{"pts": t, "packet": i} for t, i in got.random_access]] if keep_index else ())))
             columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True))], names=["k", *schema.names])
 
-    ddl = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
+    ddl = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media + ", pts array<bigint>, random_access array<struct<pts: bigint, packet: bigint>>" * keep_index
     kind = docs.schema[key].dataType.simpleString()
     return docs.selectExpr(f"`{key}` AS k", f"CAST(`{text}` AS STRING) AS t").mapInArrow(convert, f"k {kind}, {ddl}").withColumnRenamed("k", key)
 

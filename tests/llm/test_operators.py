@@ -56,6 +56,14 @@ def test_media_rows(docs):
     assert got[1].media_sha256 == got[2].media_sha256 and got[6].n_bytes == 5000
 
 
+def test_media_index(docs):
+    for r in media.media_rows(docs, keep_media=True, keep_index=True).collect():
+        packets = np.frombuffer(r.media, dtype=np.uint8).reshape(-1, media.PACKET)
+        starts = [i for i, p in enumerate(packets) if (int(p[1]) & 31) << 8 | int(p[2]) == media.MEDIA_PID and int(p[1]) & 0x40]
+        assert r.pts == [i * media.TICKS for i in range(-(-r.payload_bytes // media.UNIT))]
+        assert [tuple(x) for x in r.random_access] == list(zip(r.pts, starts, strict=True))
+
+
 def test_language(docs):
     model = langid.fit(["the cat and the dog"] * 30 + ["der hund und die katze"] * 30, ["en"] * 30 + ["de"] * 30)
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
