@@ -63,7 +63,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: Not expressible in SQL; tests hold the stages against brute force.
+#: Not expressible in SQL; tests hold join_components and remove_repeats, not the stages or run(), against brute force.
 ORACLE_SQL = None
 
 
