@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector, scaled to length one, goes through three rounds of random signs and a fast Hadamard transform
-(a pseudo-rotation); its hash is the nearest signed axis.  Each table concatenates `k` such hashes, where k
-follows the number of vectors so that a bucket keeps its size.  A query probes its best buckets in every table
-(multiprobe); within them, exact double-precision distances are computed block by block and only each block's
-best rows leave it.
+(a pseudo-rotation); its hash is the nearest signed axis.  Each table concatenates `k` such hashes.  A query probes
+its best buckets in every table (multiprobe); the distinct candidates of all tables are then reranked by their exact
+distance in double precision.
+
+How many hashes and probes are needed depends on how near the neighbours are, so both are measured: a bounded sample of
+rows is searched exhaustively (one pass over the table), and of the settings that find `target` of the sample's true
+neighbours that of least expected work is taken.  Equal vectors are one entry of the index, with their least ids.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,13 +24,19 @@ from pyspark.sql import functions as F
 
 from strandlake.llm._spark import Scratch, table
 
-TABLES = 10
-#: Share of the buckets of a one-hash table that a query probes; two-hash tables probe the square of it, and so on.
-PROBE_SHARE = 0.14
-#: Vectors for which a table gets another hash.
-PER_HASH = 4000
-#: A bucket beyond this many vectors is dealt into blocks; every block is searched.
+TABLES = 40
+#: Share of the sample's true neighbours that the chosen number of probes must find.
+TARGET = 0.96
+#: Rows that are searched exhaustively to choose hashes and probes, and rows that the work is estimated on.
+SAMPLE_QUERIES, SAMPLE_ROWS = 128, 4096
+#: Hashes a table may have, and for each number the best axes of a hash that probes combine (None: all).
+AXES = {1: None, 2: 64, 3: 24}
+#: Work of a probed bucket, in candidates.
+PROBE_WORK = 0.1
+#: Vectors of a block that candidates are reranked in, and entries of a bucket's block.
 BLOCK = 2048
+#: Queries that meet a block at a time.
+QUERY_BLOCK = 4096
 TOP = 10
 
 
@@ -43,51 +53,95 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
-def rotations(x: np.ndarray, tables: int, k: int, seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Table, hash number and rotated rows.  Rows are padded with zeros to a power of two."""
+def rotations(x: np.ndarray, tables: int, k: int, seed: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Table and, for each of its k hashes, how near the rows are to each signed axis.  Rows are padded with zeros to a
+    power of two."""
     d = 1 << max(0, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
+    # The largest part goes first, so that very large and very small numbers neither overflow nor vanish.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     rng = np.random.default_rng(seed)
     signs = rng.integers(0, 2, (tables, k, 3, d)) * 2.0 - 1
     for t in range(tables):
+        near = []
         for j in range(k):
             y = x
             for r in range(3):
                 y = hadamard(y * signs[t, j, r])
-            yield t, j, y
-
-
-def _signed(y: np.ndarray) -> np.ndarray:
-    return np.concatenate([y, -y], axis=1)
+            near.append(np.concatenate([y, -y], axis=1))
+        yield t, near
 
 
 def buckets(x: np.ndarray, tables: int, k: int, seed: int) -> np.ndarray:
     """Bucket of each row in each table: rows x tables."""
     out = np.zeros((len(x), tables), dtype=np.int64)
-    for t, _, y in rotations(x, tables, k, seed):
-        s = _signed(y)
-        out[:, t] = out[:, t] * s.shape[1] + s.argmax(axis=1)
+    for t, near in rotations(x, tables, k, seed):
+        for s in near:
+            out[:, t] = out[:, t] * s.shape[1] + s.argmax(axis=1)
     return out
 
 
-def probes(x: np.ndarray, tables: int, k: int, seed: int, share: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each table, the buckets that each row probes: rows x probes, best first.
-
-    With several hashes a probe takes the product of each hash's best axes.
-    """
-    parts: list[np.ndarray] = []
-    for t, j, y in rotations(x, tables, k, seed):
-        s = _signed(y)
-        n = max(1, round(share * s.shape[1]))
-        best = np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int64)
-        parts.append(best)
-        if j == k - 1:
-            code = parts[0]
-            for p in parts[1:]:
-                code = (code[:, :, None] * s.shape[1] + p[:, None, :]).reshape(len(x), -1)
-            yield t, code
-            parts = []
+def ranked_buckets(near: list[np.ndarray], axes: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and scores of the combinations of each hash's best axes, unordered: rows x combinations."""
+    n = len(near[0])
+    code, score = np.zeros((n, 1), dtype=np.int64), np.zeros((n, 1))
+    for s in near:
+        m = min(axes or s.shape[1], s.shape[1])
+        best = np.argsort(-s, axis=1, kind="stable")[:, :m]
+        score = (score[:, :, None] + np.take_along_axis(s, best, 1)[:, None, :]).reshape(n, -1)
+        code = (code[:, :, None] * s.shape[1] + best[:, None, :]).reshape(n, -1)
+    return code, score
+
+
+def probes(x: np.ndarray, tables: int, k: int, seed: int, n_probes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each table, the buckets of best score that each row probes: rows x probes."""
+    for t, near in rotations(x, tables, k, seed):
+        code, score = ranked_buckets(near, AXES[k])
+        if n_probes < code.shape[1]:
+            code = np.take_along_axis(code, np.argpartition(-score, n_probes - 1, axis=1)[:, :n_probes], 1)
+        yield t, code
+
+
+def slices(b: pa.RecordBatch, size: int = 64) -> Iterator[pa.RecordBatch]:
+    """Few queries at a time, as each has all combinations of its best axes."""
+    for i in range(0, b.num_rows, size):
+        yield b.slice(i, size)
+
+
+@dataclass
+class Setting:
+    hashes: int
+    probes: int
+    #: Of the sample's true neighbours, and expected candidates a query (repeats between tables counted).
+    recall: float
+    candidates: float
+
+
+def measure(queries: np.ndarray, owner: np.ndarray, neighbours: np.ndarray, rows: np.ndarray, n: int, k: int, tables: int, seed: int, target: float) -> Setting:
+    """The least probes with k hashes that find `target` of the neighbours, or all there are if that takes more
+    (neighbours[i] is one of queries[owner[i]])."""
+    if not len(neighbours):
+        return Setting(k, 1, 1.0, float(n))
+    first = np.full(len(neighbours), np.iinfo(np.int64).max)
+    ordered, of_rows = [], []
+    for (_, near), (_, theirs), (_, every) in zip(rotations(queries, tables, k, seed), rotations(neighbours, tables, k, seed), rotations(rows, tables, k, seed), strict=True):
+        code, score = ranked_buckets(near, AXES[k])
+        ordered.append(-np.sort(-score, axis=1))
+        value, inside = np.zeros(len(neighbours)), np.ones(len(neighbours), dtype=bool)
+        reached = np.zeros((len(queries), len(rows)))
+        for s, y, z in zip(near, theirs, every, strict=True):
+            v = s[owner, y.argmax(axis=1)]
+            m = min(AXES[k] or s.shape[1], s.shape[1])
+            inside &= v >= -np.sort(-s, axis=1)[owner, m - 1]
+            value += v
+            reached += s[:, z.argmax(axis=1)]
+        rank = (ordered[-1][owner] > value[:, None] + 1e-12).sum(axis=1)
+        first[inside] = np.minimum(first[inside], rank[inside])
+        of_rows.append(reached)
+    p = int(min(np.sort(first)[max(0, math.ceil(target * len(first)) - 1)], ordered[0].shape[1] - 1)) + 1
+    share = sum(float((r >= o[:, p - 1 : p] - 1e-12).mean()) for r, o in zip(of_rows, ordered, strict=True))
+    return Setting(k, p, float((first < p).mean()), share * n)
 
 
 def usable(vector: Column) -> Column:
@@ -102,84 +156,129 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, queries: Column, top: int = TOP, tables: int = TABLES, share: float = PROBE_SHARE, per_hash: int = PER_HASH, block: int = BLOCK, seed: int = 29) -> DataFrame:
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - q) ** 2).sum(axis=1))
+
+
+def choose(entries: DataFrame, n: int, tables: int, seed: int, target: float, top: int, hashes: int | None = None) -> Setting:
+    """Hashes and probes for the entries (entry, v), measured on a bounded sample of them."""
+    picked = entries.orderBy(F.xxhash64("entry", F.lit(seed)), "entry").limit(SAMPLE_ROWS).collect()
+    rows = np.array([r.v for r in picked])
+    ids, queries = np.array([r.entry for r in picked[:SAMPLE_QUERIES]]), rows[:SAMPLE_QUERIES]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros((0, queries.shape[1])))] * len(queries)
+        for b in batches:
+            x, own = _matrix(b.column(1)), b.column(0).to_numpy()
+            for i in range(len(queries) if len(x) else 0):
+                d, other = distances(x, queries[i]), own != ids[i]
+                d = np.concatenate([best[i][0], d[other]])
+                v = np.concatenate([best[i][1], x[other]])
+                near = np.argsort(d, kind="stable")[:top]
+                best[i] = (d[near], v[near])
+        owner = np.repeat(np.arange(len(queries)), [len(d) for d, _ in best])
+        yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([d for d, _ in best])), pa.array([row for _, v in best for row in v.tolist()], pa.list_(pa.float64()))], names=["q", "d", "v"])
+
+    found = entries.select("entry", "v").mapInArrow(scan, "q long, d double, v array<double>")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d"))).where(F.col("r") <= top).collect()
+    owner, neighbours = np.array([r.q for r in found], dtype=np.int64), np.array([r.v for r in found])
+    settings = [measure(queries, owner, neighbours, rows, n, k, tables, seed, target) for k in ([hashes] if hashes else AXES)]
+    return min(settings, key=lambda s: (s.recall < target, s.candidates + PROBE_WORK * tables * s.probes))
+
+
+def search(vectors: DataFrame, queries: Column, top: int = TOP, tables: int = TABLES, target: float = TARGET, block: int = BLOCK, seed: int = 29, hashes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's nearest rows found.
 
-    vectors: vec_id and embedding, of one length; rows that aren't `usable`, or lack a vec_id, take no part, and
-    neither do extra columns.  Rows of one vec_id count once, that of the smallest vector.  Ties go to the smaller
-    vec_id.  A query that finds fewer than `top` rows in its buckets is searched against all rows, in blocks, so
-    it lacks neighbours only if the table does.  An empty table gives no rows.
+    vectors: vec_id and embedding.  Rows that aren't `usable`, lack a vec_id, or have another length than most usable
+    rows (of equally common lengths, the least counts) take no part; extra columns are left out.  Rows of one vec_id
+    count once, that of the smallest vector.  Ties go to the smaller vec_id.  A query that finds fewer than `top` rows in
+    its buckets is searched against all rows, in blocks, so it lacks neighbours only if the table does.  An empty table
+    gives no rows.  hashes fixes the hashes of a table instead of choosing them.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = scratch.write(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    n = rows.count()
-    dims = rows.select(F.max(F.size("v"))).first()[0] or 1
-    axes = 2 << max(0, (dims - 1).bit_length())
-    k = max(1, 1 + math.floor(math.log(max(1, n / per_hash), axes)))
+    usual = rows.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dims").first()
+    rows = scratch.write(rows.where(F.size("v") == (usual.dims if usual else 0)).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    # Of equal vectors only the least ids can be among the nearest: one more than asked for, as a query may be among them.
+    same = Window.partitionBy("v").orderBy("vec_id")
+    members = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= top + 1)
+    entries = scratch.write(members.groupBy("v").agg(F.min("vec_id").alias("entry"), F.array_sort(F.collect_list("vec_id")).alias("ids")).select("entry", "v", "ids"), "entries")
+    n = entries.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    setting = choose(entries, n, tables, seed, target, top, hashes)
+    asked = rows.where(queries).join(entries.select("v", "entry"), "v").select(F.col("vec_id").alias("query_id"), "entry")
+    asked = scratch.write(asked, "asked")
+    wanted = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select(F.col("entry").alias("query"), F.col("v").alias("qv"))
+    wanted = scratch.write(wanted, "wanted")
+    k, n_probes = setting.hashes, setting.probes
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1))
             code = buckets(x, tables, k, seed) if len(x) else np.zeros((0, tables), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(code.ravel())], names=["vec_id", "t", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(code.ravel())], names=["entry", "t", "bucket"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             x = _matrix(b.column(1))
-            for t, code in probes(x, tables, k, seed, share) if len(x) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), code.shape[1])), pa.array(np.full(code.size, t, dtype=np.int32)), pa.array(code.ravel())], names=["vec_id", "t", "bucket"])
+            for t, code in probes(x, tables, k, seed, n_probes) if len(x) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), code.shape[1])), pa.array(np.full(code.size, t, dtype=np.int32)), pa.array(code.ravel())], names=["query", "t", "bucket"])
 
-    where = "vec_id long, t int, bucket long"
-    indexed = scratch.write(rows.mapInArrow(index, where), "index")
+    indexed = scratch.write(entries.select("entry", "v").mapInArrow(index, "entry long, t int, bucket long"), "index")
+    # A large bucket is dealt into blocks; a probe meets each of them.
     sizes = indexed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    sizes = scratch.write(sizes, "sizes")
-    placed = indexed.join(sizes, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks").join(rows, "vec_id")
-    asked = rows.where(queries)
-    probed = asked.mapInArrow(probe, where).join(sizes, ["t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").join(asked, "vec_id")
-    found = _nearest(placed, probed, ["t", "bucket", "block"], top)
-    best = scratch.write(_ranked(found, top), "best")
-    short = asked.join(best.where(F.col("rank") == top), asked.vec_id == best.query_id, "left_anti")
-    if n > top and (lacking := short.count()):
-        blocks = max(1, -(-n // block))
-        every = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-        if lacking:
-            again = _nearest(every, short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["block"], top)
-            best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_ranked(again, top))
-    elif n <= top:
-        again = _nearest(rows.withColumn("block", F.lit(0)), asked.withColumn("block", F.lit(0)), ["block"], top)
-        best = _ranked(again, top)
-    return best
-
-
-def _nearest(rows: DataFrame, queries: DataFrame, keys: list[str], top: int) -> DataFrame:
-    """Each group's `top` rows for each of its queries."""
+    placed = indexed.join(sizes, ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).drop("blocks")
+    probed = wanted.mapInArrow(probe, "query long, t int, bucket long").join(sizes, ["t", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    home = F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(max(1, -(-n // block)))).cast("int")
+    met = placed.join(probed, ["t", "bucket", "part"]).select("query", "entry", home.alias("home"))
+    # Distinct candidates of a query, listed by the block of vectors that they stand in: a list is no longer than a block.
+    lists = scratch.write(met.groupBy("query", "home").agg(F.collect_set("entry").alias("entries")), "lists")
+    scratch.drop("index")
+    placed_rows = entries.select("entry", "v", "ids", home.alias("home"))
+    best = scratch.write(_nearest(placed_rows, lists.join(wanted, "query"), top), "best")
+    reached = best.groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
+    short = scratch.write(wanted.join(reached.where(F.col("n") > top), "query", "left_anti"), "short")
+    if not short.isEmpty():
+        every = F.sequence(F.lit(0), F.lit(max(1, -(-n // block)) - 1))
+        again = _nearest(placed_rows, short.withColumn("entries", F.lit(None).cast("array<long>")).withColumn("home", F.explode(every)), top)
+        best = scratch.write(best.join(short.select("query"), "query", "left_anti").unionByName(again), "whole")
+    out = asked.join(best.select(F.col("query").alias("entry"), "score", F.explode("ids").alias("vec_id")), "entry").where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
+    return out.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """query, entry, ids and score of the nearest top + 1 entries of each query (query, qv, home, entries), of those that
+    it lists of each block, or of all if it lists none."""
+    parts = queries.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+    left = rows.join(parts, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = queries.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).drop("parts")
 
     def pick(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            ids = left["vec_id"].to_numpy()
-            for i, query in enumerate(right["vec_id"].to_numpy()):
-                d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                other = ids != query
-                d, o = d[other], ids[other]
-                if len(d) > top:
-                    near = np.flatnonzero(d <= np.partition(d, top - 1)[top - 1])
-                    d, o = d[near], o[near]
-                first = np.lexsort((o, d))[:top]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": o[first], "score": d[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(pick, "query_id long, vec_id long, score double")
-
-
-def _ranked(found: DataFrame, top: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+            left = left.sort_values("entry")
+            own, x = left["entry"].to_numpy(), np.stack(left["v"].to_numpy())
+            for query, q, listed in zip(right["query"], right["qv"], right["entries"], strict=True):
+                at = np.arange(len(own)) if listed is None else np.searchsorted(own, np.sort(listed))
+                d = distances(x[at], q)
+                if len(d) > top + 1:
+                    near = np.flatnonzero(d <= np.partition(d, top)[top])
+                    at, d = at[near], d[near]
+                first = np.lexsort((own[at], d))[: top + 1]
+                out.append((np.full(len(first), query), at[first], d[first]))
+        if not out:
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "ids": pd.Series(dtype="object"), "score": pd.Series(dtype="float64")})
+        query, at, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"query": query, "entry": own[at], "ids": left["ids"].to_numpy()[at], "score": d})
+
+    found = left.groupBy("home", "part").cogroup(right.groupBy("home", "part")).applyInPandas(pick, "query long, entry long, ids array<long>, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "entry"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top + 1).drop("rank")
 
 
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found of every embedding whose vec_id is divisible by 100."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

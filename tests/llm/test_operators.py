@@ -93,22 +93,42 @@ def test_warc(spark):
     assert [bytes(r.payload) for r in some] == [b"small"]
 
 
-def test_neighbours(spark):
+def nearest(ids, x, query, top=10):
+    d = np.sqrt(((x - x[ids.index(query)]) ** 2).sum(axis=1))
+    return [(ids[i], d[i]) for i in np.lexsort((ids, d)) if ids[i] != query][:top]
+
+
+@pytest.mark.parametrize("hashes", [None, 2, 3])
+def test_neighbours(spark, hashes):
+    """With the shipped tables and target: recall against all rows, scores, and rows that take no part."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(600, 24))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (1000, [0.0] * 24), (1001, [float("nan")] * 24), (1100, x[0].tolist())]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, share=0.3).collect()
-    assert {r.query_id for r in got} == {0, 100, 200, 300, 400, 500, 1100}
-    ids, every = np.array([*range(600), 1100]), np.vstack([x, x[:1]])
-    hits = 0
-    for q in (0, 100, 1100):
-        d = np.sqrt(((every - every[list(ids).index(q)]) ** 2).sum(axis=1))
-        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
-        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
-        hits += len(set(mine) & set(ids[order].tolist()))
-    assert hits >= 27
-    few = ann.search(spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
-    assert len(few) == 3
+    x = rng.normal(size=(1500, 24))
+    odd = [(9000, None), (9100, [0.0] * 24), (9200, [float("nan")] * 24), (9300, [1.0] * 23), (9400, [None] * 24), (None, [1.0] * 24), (9500, [])]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(i, v, 2) for i, v in odd] + [(1600, x[0].tolist(), 1), (1600, x[0].tolist(), 3)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"), F.col("vec_id") % 100 == 0, hashes=hashes).collect()
+    ids, every = [*range(1500), 1600], np.vstack([x, x[:1]])
+    queries, hits = {*range(0, 1500, 100), 1600}, 0
+    assert {r.query_id for r in got} == queries and len(got) == 10 * len(queries)
+    for q in queries:
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, 11)) and [(r.score, r.vec_id) for r in mine] == sorted((r.score, r.vec_id) for r in mine)
+        assert all(r.score == pytest.approx(np.linalg.norm(every[ids.index(q)] - every[ids.index(r.vec_id)])) for r in mine)
+        hits += len({i for i, _ in nearest(ids, every, q)} & {r.vec_id for r in mine})
+    assert hits >= 0.9 * len(got)
+
+
+def test_neighbours_of_equal_vectors(spark):
+    """A third of the rows are one vector: ties go to the least ids, and none of the group is left out."""
+    x = np.random.default_rng(4).normal(size=(120, 8))
+    rows = [(i, x[0].tolist() if i % 3 == 0 else x[i].tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 10 == 0, target=1.0, hashes=1).collect()
+    every = np.array([v for _, v in rows])
+    for q in range(0, 120, 10):
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for i, _ in nearest(list(range(120)), every, q)]
+    few = ann.search(df.where("vec_id IN (1, 2, 4)"), F.col("vec_id") == 1).collect()
+    assert [(r.vec_id, r.rank) for r in sorted(few, key=lambda r: r.rank)] == [(i, k + 1) for k, (i, _) in enumerate(nearest([1, 2, 4], every[[1, 2, 4]], 1))]
+    assert ann.search(df.limit(0), F.col("vec_id") == 1).count() == 0
 
 
 def test_mixing(docs):
