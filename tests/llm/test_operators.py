@@ -28,6 +28,41 @@ def test_sharding(docs):
     assert sharding.shard(docs.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("n", [60, 200, 3000])
+def test_sharding_splits_only_what_outweighs_a_shard(spark, n):
+    """Groups of 1 to n / 20 rows stay together; one of a third of the rows, all without a key, is spread evenly."""
+    rows = [(i, f"group {i % (n // 3)} " + "x" * (i % 7)) for i in range(n)] + [(None, "hot " * 9)] * (n // 2) + [(10**6 + i, "warm text") for i in range(n // 20)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    where, load = {}, [0] * 16
+    for r in got:
+        where.setdefault(r.text, set()).add(r.shard)
+        load[r.shard] += r.size
+    assert len(got) == len(rows) and all(len(s) == 1 for t, s in where.items() if not t.startswith("hot"))
+    assert max(load) - min(load) <= (0.2 if n < 3000 else 0.02) * sum(load)
+    for k in range(16):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def plain_pack(weights, shards, slack):
+    """The rule, item by item and shard by shard."""
+    total = [sum(w[d] for w in weights) for d in range(3)]
+    share = [[w[d] / total[d] * shards if total[d] else 0.0 for d in range(3)] for w in weights]
+    left, out = [[1.0] * 3 for _ in range(shards)], [0] * len(weights)
+    for i in sorted(range(len(weights)), key=lambda i: (-max(share[i]), i)):
+        fits = [s for s in range(shards) if all(left[s][d] + slack >= share[i][d] for d in range(3))]
+        dot = lambda s: sum(left[s][d] * share[i][d] for d in range(3))
+        worst = lambda s: min(left[s][d] - share[i][d] for d in range(3) if share[i][d] > 0)
+        out[i] = max(fits, key=lambda s: (round(dot(s), 12), -s)) if fits else max(range(shards), key=lambda s: (round(worst(s), 12), -s))
+        left[out[i]] = [left[out[i]][d] - share[i][d] for d in range(3)]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_packing_follows_the_rule(seed):
+    w = np.random.default_rng(seed).exponential(1, (200, 3))
+    assert sharding.pack(w, 7).tolist() == plain_pack(w.tolist(), 7, 0.002)
+
+
 def test_packing_balances_every_dimension():
     w = np.random.default_rng(1).exponential(1, (3000, 3))
     used = np.array([w[sharding.pack(w, 8) == i].sum(axis=0) for i in range(8)])
