@@ -24,7 +24,9 @@ LEAST_SHARED = 100
 #: An archive that has grown to this size is closed and the next begun.
 ARCHIVE_BYTES = 1 << 30
 #: Ranges closer than GAP bytes are read as one, up to SPAN bytes.
-GAP, SPAN = 64 << 10, 8 << 20
+GAP, SPAN = 64 << 10, 2 << 20
+#: Compressed bytes that a reading task gets on average.
+TASK_BYTES = 4 << 20
 CRLF = "\r\n"
 
 
@@ -101,12 +103,15 @@ def read(selected: DataFrame, scratch: Scratch) -> DataFrame:
     runs = selected.select("archive", "offset", "length").withColumn("run", F.sum(F.when(gap > GAP, 1).otherwise(0)).over(order))
     # A run of neighbours is read as one range, but for a cut at every SPAN bytes.
     spans = runs.groupBy("archive", "run", (F.col("offset") / SPAN).cast("long").alias("part")).agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+    spans = scratch.write(spans.select("archive", "begin", "end", "ranges"), "spans")
+    # Tasks by the bytes that they read: the rows that name the ranges are small however much they stand for.
+    tasks = -(-(spans.agg(F.sum(F.col("end") - F.col("begin"))).first()[0] or 0) // TASK_BYTES)
     base = scratch.path("archives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _read_spans(base, batches)
 
-    dealt = spans.select("archive", "begin", "end", "ranges").repartition("archive", "begin")
+    dealt = spans.repartition(max(1, tasks), "archive", "begin")
     return dealt.mapInArrow(run, "page_id long, type string, refers_to long, payload binary, digest string, url string")
 
 
@@ -161,6 +166,7 @@ def resolve(read: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to archives and read back through their index."""
     scratch = Scratch(spark, "warc")
     index = write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch)
     return resolve(read(index, scratch), scratch)
