@@ -22,8 +22,10 @@ KEYS = ("source", "lang", "topic")
 ROUNDS = 12
 #: Share of all tokens by which a marginal may miss its target after the rounds without a warning.
 TOLERANCE = 1e-6
-#: Letters whose relative frequency names a document's topic (the tables have no topic column).
-TOPIC_LETTERS = "anostr"
+#: Topics and the terms that tell them (the tables have no topic column): notices, contacts, credentials, tables, appeals.
+TOPICS = {"licensing": ("Licens", "licens"), "contact": ("@",), "credentials": (" = ",), "tabular": (" | ",), "appeal": ("!!",)}
+#: Topic of a text without any of the terms.
+REST = "prose"
 NONE = "(none)"
 
 
@@ -32,14 +34,14 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def topic_of(text: Column, letters: str = TOPIC_LETTERS) -> Column:
-    """The most frequent of the given letters in the whole text, ties to the first listed; `none` if there is none."""
+def topic_of(text: Column, topics: Mapping[str, tuple[str, ...]] | None = None) -> Column:
+    """The topic whose terms occur most often in the whole text, ties to the first listed; the rest's if there are none."""
     body = F.coalesce(text, F.lit(""))
-    n = [F.length(body) - F.length(F.replace(body, F.lit(c), F.lit(""))) for c in letters]
-    best = F.greatest(*n)
-    out = F.when(best == 0, F.lit(NONE))
-    for c, k in zip(letters, n, strict=True):
-        out = out.when(k == best, F.lit(c))
+    hits = {t: sum(((F.length(body) - F.length(F.replace(body, F.lit(w), F.lit("")))) / len(w) for w in terms), F.lit(0)).cast("long") for t, terms in (topics or TOPICS).items()}
+    best = F.greatest(*hits.values(), F.lit(0))
+    out = F.when(best == 0, F.lit(REST))
+    for t, n in hits.items():
+        out = out.when(n == best, F.lit(t))
     return out
 
 
@@ -111,9 +113,10 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, budget: float = 0.5, power: Mapping[str, float] | None = None, seed: int = 17, topic: Column | None = None, rounds: int = ROUNDS, targets: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
-    """Adds topic, tokens, weight, probability and sampled to every document.
+def mix(docs: DataFrame, budget: float = 0.5, power: Mapping[str, float] | None = None, seed: int = 17, topic: Column | None = None, rounds: int = ROUNDS, targets: Mapping[str, Mapping[str | None, float]] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The columns (all, unless stated), topic, tokens, weight, probability and sampled of every document.
 
+    topic: a column, in place of the topic that the terms in TOPICS tell.
     targets: explicit weights by key and group, in place of the key's power.  A warning tells if the marginals still
     miss their targets after the rounds, as they must if cells that they need don't occur.
 
@@ -127,7 +130,7 @@ def mix(docs: DataFrame, budget: float = 0.5, power: Mapping[str, float] | None
         raise ValueError(f"no such keys: {sorted(unknown)}")
     scratch = Scratch(spark, "mixing")
     added = ("topic", "tokens", "weight", "probability", "sampled", "k_source", "k_lang", "k_topic")
-    own = [c for c in docs.columns if c not in added]
+    own = [c for c in (docs.columns if columns is None else columns) if c not in added]
     keyed = docs.select(
         *own,
         F.coalesce(topic if topic is not None else topic_of(F.col("text")), F.lit(NONE)).alias("topic"),
@@ -135,6 +138,9 @@ def mix(docs: DataFrame, budget: float = 0.5, power: Mapping[str, float] | None
         F.coalesce(F.col("source"), F.lit(NONE)).alias("k_source"),
         F.coalesce(F.col("lang"), F.lit(NONE)).alias("k_lang"),
     )
+    if "text" not in own:
+        # Without the texts the rows are small: they are read once, for the cells and for the sample.
+        keyed = scratch.write(keyed, "keyed")
     cells = keyed.groupBy(F.col("k_source").alias("source"), F.col("k_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     raked = scratch.write(rake(scratch.write(cells, "cells"), power, rounds, scratch, targets=targets), "raked")
     if (error := marginal_error(raked)) > TOLERANCE:
@@ -147,17 +153,16 @@ def mix(docs: DataFrame, budget: float = 0.5, power: Mapping[str, float] | None
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, probability and sampling decision of every document; doubles rounded to 6 places."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = mix(docs).drop("text")
+    out = mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
 def op10_sql(budget: float = 0.5, power: Mapping[str, float] | None = None, seed: int = 17, rounds: int = ROUNDS) -> str:
     """The same in DuckDB's SQL, with the rounds written out."""
     power = power or {"source": 0.5, "lang": 0.5, "topic": 0.75}
-    n = {c: f"(length(body) - length(replace(body, '{c}', '')))" for c in TOPIC_LETTERS}
-    best = f"greatest({', '.join(n.values())})"
-    topic = f"CASE WHEN {best} = 0 THEN '{NONE}' " + " ".join(f"WHEN {e} = {best} THEN '{c}'" for c, e in n.items()) + " END"
+    n = {t: "(" + " + ".join(f"(length(body) - length(replace(body, '{w}', ''))) // {len(w)}" for w in terms) + ")" for t, terms in TOPICS.items()}
+    best = f"greatest({', '.join(n.values())}, 0)"
+    topic = f"CASE WHEN {best} = 0 THEN '{REST}' " + " ".join(f"WHEN {e} = {best} THEN '{t}'" for t, e in n.items()) + " END"
     parts = [
         f"""d AS (SELECT doc_id, source, lang, {topic} AS topic, tokens, coalesce(source, '{NONE}') AS ks, coalesce(lang, '{NONE}') AS kl
   FROM (SELECT *, coalesce(text, '') AS body, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents))""",

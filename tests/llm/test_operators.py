@@ -174,6 +174,33 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_topics(spark):
+    texts = ["a @ b @ | x", "a | b | c @", "Licensed, licensed!!", "", None, "plain", "x | y @ z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.topic for r in df.select("i", mixing.topic_of(F.col("text")).alias("topic")).orderBy("i").collect()]
+    assert got == ["contact", "tabular", "licensing", "prose", "prose", "prose", "contact"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_raking_meets_every_marginal(spark, seed):
+    """Against a plain loop, and against the targets: what is left of error after the rounds is below the tolerance."""
+    rng = np.random.default_rng(seed)
+    keys = [(s, g, t) for s in "abcd" for g in "xyz" for t in "pq"]
+    tokens = rng.integers(1, 5000, len(keys))
+    cells = spark.createDataFrame([(*k, int(n)) for k, n in zip(keys, tokens, strict=True)], "source string, lang string, topic string, tokens long")
+    power = {"source": 0.5, "lang": 0.0, "topic": 0.75}
+    raked = mixing.rake(cells, power, scratch=Scratch(spark, "t"))
+    assert mixing.marginal_error(raked) < mixing.TOLERANCE
+    goal = tokens.astype(float)
+    for _ in range(mixing.ROUNDS):
+        for i, key in enumerate(mixing.KEYS):
+            share = {g: sum(int(n) for k, n in zip(keys, tokens, strict=True) if k[i] == g) ** power[key] for g in {k[i] for k in keys}}
+            now = {g: sum(v for k, v in zip(keys, goal, strict=True) if k[i] == g) for g in share}
+            goal = np.array([v * tokens.sum() * share[k[i]] / sum(share.values()) / now[k[i]] for k, v in zip(keys, goal, strict=True)])
+    got = {(r.source, r.lang, r.topic): r.goal for r in raked.collect()}
+    assert [got[k] for k in keys] == pytest.approx(goal.tolist(), rel=1e-9)
+
+
 def test_mixing_to_given_targets(spark):
     rows = [(i, "an " * (1 + i % 5), "en de".split()[i % 2], "aab"[i % 3]) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
