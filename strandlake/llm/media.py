@@ -155,8 +155,8 @@ def _read_section(packet: np.ndarray, table_id: int) -> bytes:
 
 
 def demux(stored: bytes) -> Stream:
-    """Parses a stream of one program whose tables fit a packet each; raises StreamError on damage but for
-    continuity breaks, which are counted."""
+    """Parses the first program's first elementary stream, of tables that fit a packet each; raises StreamError on
+    damage but for continuity breaks, which are counted.  A packet sent twice in a row, as may be, counts once."""
     if not stored or len(stored) % PACKET:
         raise StreamError("not whole packets")
     p = np.frombuffer(stored, dtype=np.uint8).reshape(-1, PACKET)
@@ -178,6 +178,9 @@ def demux(stored: bytes) -> Stream:
     stream_type, media_pid = pmt[at], (pmt[at + 1] & 31) << 8 | pmt[at + 2]
     own = np.flatnonzero(pid == media_pid)
     m = p[own]
+    again = np.zeros(len(m), dtype=bool)
+    again[1:] = ((m[1:, 3] & 0x10) > 0) & (m[1:] == m[:-1]).all(axis=1)
+    own, m = own[~again], m[~again]
     has_data, has_field = (m[:, 3] & 0x10) > 0, (m[:, 3] & 0x20) > 0
     counter = m[:, 3] & 15
     expected = (counter[:-1] + has_data[1:]) % 16

@@ -1,6 +1,7 @@
 """Edge cases and brute-force checks of the other operators."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -85,6 +86,47 @@ def test_stream_damage():
         media.demux(stored[:-1])
 
 
+def test_stream_with_a_packet_sent_twice():
+    raw = bytes(range(256)) * 20
+    stored = media.mux(raw)
+    i = next(i for i in range(3, len(stored) // 188) if not stored[188 * i + 1] & 0x40)
+    got = media.demux(stored[: 188 * (i + 1)] + stored[188 * i : 188 * (i + 1)] + stored[188 * (i + 1) :])
+    assert got.payload == raw and got.discontinuities == 0
+
+
+def plain_demux(stored):
+    """Payload, time stamps and access points, packet by packet."""
+    packets = [stored[i : i + 188] for i in range(0, len(stored), 188)]
+    assert all(p[0] == 0x47 for p in packets)
+    pid = lambda p: (p[1] & 31) << 8 | p[2]
+    body = lambda p: p[5 + p[4] :] if p[3] & 0x20 else p[4:]
+    section = lambda p: body(p)[1 + body(p)[0] :]
+    pat = section(next(p for p in packets if pid(p) == 0))
+    pmt_pid = (pat[10] & 31) << 8 | pat[11]
+    pmt = section(next(p for p in packets if pid(p) == pmt_pid))
+    at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+    es, units, counter = (pmt[at + 1] & 31) << 8 | pmt[at + 2], [], None
+    for i, p in enumerate(packets):
+        if pid(p) != es or not p[3] & 0x10:
+            continue
+        assert counter is None or p[3] & 15 == (counter + 1) % 16
+        counter = p[3] & 15
+        if p[1] & 0x40:
+            h = body(p)
+            pts = (h[9] >> 1 & 7) << 30 | h[10] << 22 | h[11] >> 1 << 15 | h[12] << 7 | h[13] >> 1
+            units.append([bytearray(h[9 + h[8] :]), pts, i if p[3] & 0x20 and p[4] and p[5] & 0x40 else None])
+        else:
+            units[-1][0] += body(p)
+    return b"".join(bytes(u[0]) for u in units), [u[1] for u in units], [(u[1], u[2]) for u in units if u[2] is not None]
+
+
+@pytest.mark.parametrize("n", [192, 1536, 4800, 100032])
+def test_stream_against_a_plain_parser(n):
+    stored = media.mux(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes())
+    got = media.demux(stored)
+    assert plain_demux(stored) == (got.payload, got.pts, got.random_access)
+
+
 def test_media_rows(docs):
     got = {r.doc_id: r for r in media.media_rows(docs).collect()}
     assert got[3].payload_sha256 == got[4].payload_sha256 == hashlib.sha256(b" " * 192).hexdigest()
@@ -114,6 +156,65 @@ def test_quality(docs):
     assert quality.score_keys(docs.limit(0), model).count() == 0
 
 
+def test_training_rows_are_one_per_key_and_bounded(spark):
+    rows = [(i, ("the cat " if i % 2 else "der hund ") * 3, "en" if i % 2 else "de") for i in range(40)] + [(1, "the cat and the dog", "en")] * 50 + [(3, "x" * 300_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.bounded(docs, F.col("doc_id"), most=200, longest=40).collect()
+    assert sum(len(r.text) for r in got) <= 200 and all(len(r.text) <= 40 for r in got)
+    seen = []
+    langid_fit = langid.fit
+    langid.fit = lambda texts, labels: seen.extend(zip(texts, labels, strict=True)) or langid_fit(texts, labels)
+    try:
+        langid.train(docs)
+    finally:
+        langid.fit = langid_fit
+    assert sum(t.startswith("the") for t, _ in seen) <= 20 and all(len(t) < 300_000 for t, _ in seen)
+
+
+def plain_ftrl(rows, labels, order, size, alpha, beta, l1, l2):
+    """The update rule, coordinate by coordinate."""
+    z, n = [0.0] * size, [0.0] * size
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for r in order:
+        w = {i: weight(i) for i, _ in rows[r]}
+        p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in rows[r])))
+        for i, x in rows[r]:
+            g = (p - labels[r]) * x
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+    return [weight(i) for i in range(size)]
+
+
+def test_quality_training_follows_the_rule():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["red", "blue", "##", "12", "tree"], 12)) for _ in range(30)]
+    labels = [int("tree" in t[:20]) for t in texts]
+    model = quality.fit(texts, labels, epochs=2)
+    size, rows = 1 << quality.BITS, []
+    for t in texts:
+        ids, x, _ = quality.features(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t)]))
+        rows.append([*zip(ids.tolist(), x.astype(np.float32).tolist(), strict=True), (size, 1.0)])
+    draw = np.random.default_rng(3)
+    order = [i for _ in range(2) for i in draw.permutation(len(rows))]
+    want = plain_ftrl(rows, labels, order, size + 1, 0.5, 1.0, 0.02, 0.1)
+    assert model.bias == pytest.approx(want[-1], abs=1e-4) and model.weight == pytest.approx(np.array(want[:-1]), abs=1e-4)
+
+
+@pytest.mark.parametrize("n", [600])
+def test_language_held_out_accuracy(n):
+    """Two made-up languages of different syllables: right on held-out texts of unseen words, and rejecting a third."""
+    rng = np.random.default_rng(6)
+    syllables = {"aa": ["ba", "na", "lo", "ti", "ra"], "bb": ["sch", "ei", "ung", "ver", "ent"]}
+    text = lambda s: " ".join("".join(rng.choice(s, rng.integers(2, 5))) for _ in range(rng.integers(2, 30)))
+    made = [(text(syllables[k]), k) for k in syllables for _ in range(n)]
+    rng.shuffle(made)
+    train, test = made[: n], made[n:]
+    model = langid.fit([t for t, _ in train], [k for _, k in train])
+    p = np.concatenate([model.scores(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t)])) for t, _ in test])
+    right = np.array([model.labels[i] == k for i, (_, k) in zip(p.argmax(axis=1), test, strict=True)])
+    assert right.mean() >= 0.99 and right[p.max(axis=1) >= model.reject_below].mean() >= 0.99
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 100
     rows = [(9, "u9", big), (2, "u\n2", big), (5, None, big), (7, "u7", "small"), (8, "u8", "small"), (1, "u1", None), (1, "u1", None)]
