@@ -256,4 +256,5 @@ def tokenize(docs: DataFrame, path: str | None = None, keep_ids: bool = False, k
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text encoded and decoded."""
     return tokenize(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm._spark import table, tune
@@ -24,6 +24,8 @@ from strandlake.llm._text import BYTE, LOWER, SPACE, blocks, buffers, splitmix
 BUCKETS = 1 << 15
 #: Labelled rows that a model is fitted on, at most; chosen by a hash of the key.
 SAMPLE_ROWS = 6000
+#: Bytes of their texts together, and of one text, at most; what a model is fitted on has to fit the driver.
+SAMPLE_BYTES, LONGEST = 1 << 27, 1 << 18
 ORDERS = (2, 3, 4)
 _U = np.uint64
 #: Letters stay; all else (but bytes of non-ASCII characters) separates words.
@@ -139,11 +141,22 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def bounded(sample: DataFrame, by: Column, most: int = SAMPLE_BYTES, longest: int = LONGEST) -> DataFrame:
+    """Rows of a sample (at most some thousand) in order of `by` for as long as their texts are `most` bytes together;
+    single texts above `longest` bytes are passed over."""
+    sized = sample.withColumn("_n", F.octet_length("text")).where(F.col("_n") <= longest)
+    return sized.withColumn("_n", F.sum("_n").over(Window.orderBy(by, "doc_id"))).where(F.col("_n") <= most).drop("_n")
+
+
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on the `rows` rows of least key hash among those with a text, a label, and a key that isn't held out."""
+    """Fits on the `rows` documents of least key hash among those with a text, a label, and a key that isn't held out.
+
+    Rows that share a key are one, that of the least label and text.  The sample is bounded in bytes too.
+    """
     pool = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     keys = pool.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = pool.join(F.broadcast(keys), "doc_id").select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang", "text"])
+    once = pool.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.*")
+    sample = bounded(once, F.xxhash64("doc_id")).toPandas().sort_values(["doc_id", "lang", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
@@ -176,5 +189,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of the rows that aren't held out."""
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text", "lang")
     return predict(docs, train(docs))

@@ -326,4 +326,5 @@ def join_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, class and component of every document."""
     return join_components(table(spark, sf_dir, "documents"))

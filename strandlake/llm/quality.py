@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm._spark import table, tune
 from strandlake.llm._text import BYTE, LOWER, blocks, buffers, places, splitmix, stream
-from strandlake.llm.langid import held_out
+from strandlake.llm.langid import bounded, held_out
 
 BITS = 18
 #: Labelled rows that a model is fitted on, at most; chosen by a hash of the key.
@@ -127,10 +127,14 @@ def fit(texts: list[str], labels: list[int], epochs: int = 3, alpha: float = 0.5
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on the `rows` labelled rows of least key hash that aren't held out; their texts are read whole."""
+    """Fits on the `rows` labelled rows of least key hash that aren't held out; their texts are read whole.
+
+    Rows that share a key are one, that of the least text.  The sample is bounded in bytes too.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     pool = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(pool), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    once = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(pool), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    sample = bounded(once, F.xxhash64("doc_id")).toPandas().sort_values(["doc_id", "text"])
     return fit(sample["text"].tolist(), sample["quality"].tolist())
 
 
@@ -155,6 +159,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, by a model of the labelled rows that aren't held out."""
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     # The digest needs the key and the score; the texts aren't sent back from the workers.

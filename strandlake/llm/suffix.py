@@ -458,4 +458,5 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, keep_text: bool = False, *
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses as repeats of 100 bytes that start earlier, and a digest of what it keeps."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
