@@ -26,9 +26,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests), a temporary folder is made and set."""
+    """The session's ``spark.checkpoint.dir``; where it is unset in local mode (tests), a temporary folder is made and
+    set.  On a cluster it has to be set: a machine's own folder can't be shared."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
