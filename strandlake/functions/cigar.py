@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequence import bind
+
 #: Fixed: flag names in order of their bits.
 FLAGS = ("paired", "proper_pair", "unmapped", "mate_unmapped", "reverse", "mate_reverse", "first", "second", "secondary", "qc_fail", "duplicate", "supplementary")
 
@@ -30,9 +32,9 @@ def valid(cigar: Column) -> Column:
 
 def parse(cigar: Column) -> Column:
     """Array of (length, op); `*` has none.  What isn't an operation is skipped; without any, it is an error."""
-    ops = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), 1), lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("length"), F.right(x, F.lit(1)).alias("op")))
-    none = F.array().cast("array<struct<length:int,op:string>>")
-    return F.when(cigar == "*", none).when(F.size(ops) > 0, ops).otherwise(F.raise_error(F.concat(F.lit("invalid CIGAR: "), cigar)))
+    lengths, letters = (F.regexp_extract_all(cigar, F.lit(x), 1) for x in (r"(\d+)[MIDNSHP=X]", r"\d+([MIDNSHP=X])"))
+    ops = F.zip_with(lengths, letters, lambda n, op: F.struct(n.cast("int").alias("length"), op.alias("op")))
+    return bind(ops, lambda x: F.when((F.size(x) > 0) | (cigar == "*"), x).otherwise(F.raise_error(F.concat(F.lit("invalid CIGAR: "), cigar))))
 
 
 def format_ops(ops: Column) -> Column:
@@ -42,9 +44,9 @@ def format_ops(ops: Column) -> Column:
 
 
 def stats(ops: Column) -> Column:
-    """Struct of the nine counters."""
-    count = lambda letters: F.aggregate(F.filter(ops, lambda o: o["op"].isin(*letters)), F.lit(0), lambda a, o: a + o["length"])
-    return F.struct(*[count(v).alias(k) for k, v in COUNTERS.items()])
+    """Struct of the nine counters, in one pass."""
+    add = lambda a, o: F.struct(*[(a[k] + F.when(o["op"].isin(*v), o["length"]).otherwise(0)).alias(k) for k, v in COUNTERS.items()])
+    return F.aggregate(ops, F.struct(*[F.lit(0).alias(k) for k in COUNTERS]), add)
 
 
 def aligned(cigar: Column, query: Column) -> Column:

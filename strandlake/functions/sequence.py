@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed: white space that trimming removes, beyond the plain space.
-WHITE = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+#: Fixed: white space that trimming removes.
+WHITE = " \t\n\v\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once: in a lambda's body, an outer expression would be computed for every element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def pin(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is computed once: the optimizer moves no copies of it into what uses it."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
 
 
 def trim(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalise(c: Column) -> Column:
@@ -20,7 +32,7 @@ def normalise(c: Column) -> Column:
 
 def parse_int(c: Column) -> Column:
     """The integer that a string begins with, or null."""
-    return F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast("bigint")
+    return F.coalesce(c.try_cast("bigint"), F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast("bigint"))
 
 
 def parse_float(c: Column) -> Column:

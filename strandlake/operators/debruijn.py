@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequence import canonical
 from strandlake.operators.kmers import check_k, kmer_rows
 from strandlake.session import shared_dir
 
@@ -15,8 +16,10 @@ def build(df: DataFrame, k: int, seq: str = "sequence", id_: str = "id", canonic
     rows = kmer_rows(df.select(F.col(id_).alias("id"), F.col(seq).alias("sequence")).where("sequence IS NOT NULL"), k, "sequence", canonical_, keep=("id",))
     seen = F.min(F.struct("id", "pos")).alias("first_seen")
     nodes = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("coverage"), seen)
-    following = rows.withColumn("dst", F.lead("kmer").over(Window.partitionBy("id").orderBy("pos"))).where("dst IS NOT NULL")
-    edges = following.groupBy(F.col("kmer").alias("src"), "dst").agg(seen)
+    # A k-mer and the next are a (k + 1)-mer of the row.
+    both = kmer_rows(df.select(F.col(id_).alias("id"), F.col(seq).alias("sequence")).where("sequence IS NOT NULL"), k + 1, "sequence", keep=("id",))
+    end = lambda i: canonical(F.substr("kmer", F.lit(i), F.lit(k))) if canonical_ else F.substr("kmer", F.lit(i), F.lit(k))
+    edges = both.groupBy(end(1).alias("src"), end(2).alias("dst")).agg(seen)
     return (nodes, edges) if min_coverage <= 1 else prune(nodes, edges, min_coverage)
 
 

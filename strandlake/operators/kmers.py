@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import canonical, normalise, strict
+from strandlake.functions.sequence import bind, canonical, normalise, pin, strict
 
 PRIME = 2147483647
 
@@ -21,11 +19,6 @@ def check_k(k: int, least: int = 1) -> None:
 BLOCK = 256
 
 
-def bind(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c) with c computed once: in a lambda's body, an outer expression would be computed for every element."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def windows(s: Column, k: int) -> Column:
     """All substrings of length k, in order; none where k is longer than the string."""
     empty = F.array().cast("array<string>")
@@ -83,18 +76,19 @@ def rolling_hashes(df: DataFrame, k: int, seq: str = "sequence", canonical_: boo
 
 
 def super_kmers(df: DataFrame, k: int, seq: str = "sequence", canonical_: bool = False, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Maximal runs of k-mers of which each begins as the one before ends, joined; part numbers them.
+    """Maximal runs of k-mers of which each begins as the one before ends, joined; part numbers them within the row.
 
     A run begins with its first k-mer as read and goes on with the last letters of the (canonical) ones after it.
     """
-    rows = kmer_rows(df, k, seq, False, keep=keep).withColumn("forward", F.col("kmer"))
-    rows = rows.withColumn("kmer", canonical(F.col("kmer"))) if canonical_ else rows
-    order = Window.partitionBy(*keep).orderBy("pos")
-    before = F.lag("kmer").over(order)
-    joins = F.substr(before, F.lit(2), F.lit(k - 1)) == F.substr(F.col("kmer"), F.lit(1), F.lit(k - 1))
-    rows = rows.withColumn("part", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order) - 1)
-    found = rows.groupBy(*keep, "part").agg(F.min_by("forward", "pos").alias("head"), F.array_sort(F.collect_list(F.struct("pos", F.right("kmer", F.lit(1)).alias("c")))).alias("tail"))
-    return found.select(*keep, "part", F.concat("head", F.array_join(F.transform(F.slice("tail", 2, 1 << 30), lambda x: x["c"]), "")).alias("super_kmer"))
+    check_k(k)
+    rows = pin(df.select(*keep, normalise(F.col(seq)).alias("_s")), "_k", windows(F.col("_s"), k))
+    rows = pin(rows, "_c", F.transform("_k", canonical)) if canonical_ else rows.withColumn("_c", F.col("_k"))
+    apart = lambda i: F.substr(F.get("_c", i - 1), F.lit(2), F.lit(k - 1)) != F.substr(F.get("_c", i), F.lit(1), F.lit(k - 1))
+    heads = F.filter(F.sequence(F.lit(0), F.size("_c") - 1), lambda i: (i == 0) | apart(i))
+    rows = pin(rows.where(F.size("_k") > 0), "_h", heads)
+    tail = lambda h, p: F.slice("_c", h + 2, F.coalesce(F.get("_h", p + 1), F.size("_c")) - h - 1)
+    joined = F.transform("_h", lambda h, p: F.concat(F.get("_k", h), F.array_join(F.transform(tail(h, p), lambda x: F.right(x, F.lit(1))), "")))
+    return rows.select(*keep, F.posexplode(joined).alias("part", "super_kmer")).withColumn("part", F.col("part").cast("long"))
 
 
 def syncmers(df: DataFrame, k: int, s: int, seq: str = "sequence", canonical_: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import normalise
-from strandlake.operators.kmers import check_k, kmer_rows
+from strandlake.functions.sequence import bind, canonical, normalise, pin
+from strandlake.operators.kmers import check_k, windows
 
 
 def string_hash(c: Column) -> Column:
@@ -17,36 +17,64 @@ def string_hash(c: Column) -> Column:
     return F.abs(F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("long"), lambda h, x: wrapped(h * 31 + F.ascii(x))))
 
 
-def _least(rows: DataFrame, value: Column, w: int, keep: tuple[str, ...]) -> DataFrame:
-    order = Window.partitionBy(*keep).orderBy("pos")
-    run = order.rowsBetween(0, w - 1)
-    best = rows.withColumn("best", F.min(value).over(run)).withColumn("width", F.count(F.lit(1)).over(run)).where(F.col("width") == w)
-    return best.select(*keep, "best.*").distinct()
+#: Windows that are looked at together; a long sequence is dealt into pieces of so many.
+PIECE = 2048
 
 
-def minimizers(df: DataFrame, k: int, w: int, seq: str = "sequence", canonical_: bool = False, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keep, kmer and pos.  Positions never decrease along a sequence, so distinct rows are the collapsed runs."""
+def _pieces(s: Column, k: int, w: int) -> Column:
+    """Where each piece begins, and its letters.  All but the first begin a window early, to know where the run before ends."""
+    span = k + w - 1
+    begin = lambda j: F.greatest(j - 1, F.lit(0))
+    cut = lambda t: F.transform(F.sequence(F.lit(0), F.length(t) - span, F.lit(PIECE)), lambda j: F.struct(begin(j).alias("at"), F.substr(t, begin(j) + 1, j + PIECE + span - 1 - begin(j)).alias("t")))
+    return bind(s, lambda t: F.when(F.length(t) >= span, cut(t)))
+
+
+def _places(values: Column, w: int) -> Column:
+    """Places of the least values of all runs of w; values are (value, place)."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(values) - w), lambda i: F.array_min(F.slice(values, i + 1, F.lit(w)))["i"]))
+
+
+def _least(df: DataFrame, k: int, w: int, seq: str, canonical_: bool, keep: tuple[str, ...], value: Callable[[Column], Column] | None) -> DataFrame:
+    """keep, pos, kmer and value: computed within the row, whatever the other rows are."""
     check_k(k)
     check_k(w)
-    return _least(kmer_rows(df, k, seq, canonical_, keep=keep), F.struct("kmer", "pos"), w, keep)
+    pieces = df.select(*keep, F.explode(_pieces(normalise(F.col(seq)), k, w)).alias("_p")).select(*keep, "_p.*")
+    ks = windows(F.col("t"), k)
+    rows = pin(pieces, "_k", F.transform(ks, canonical) if canonical_ else ks)
+    rows = pin(rows, "_v", F.transform("_k", lambda x, i: F.struct((value(x) if value else x).alias("v"), i.alias("i"))))
+    places = _places(F.col("_v"), w)
+    # Places never decrease along a sequence, so the distinct ones are the collapsed runs; the first belongs to the piece before.
+    rows = rows.select(*keep, "at", "_k", "_v", F.explode(F.when(F.col("at") > 0, bind(places, lambda x: F.slice(x, 2, 1 << 30))).otherwise(places)).alias("_i"))
+    return rows.select(*keep, (F.col("at") + F.col("_i")).alias("pos"), F.get("_k", "_i").alias("kmer"), F.get("_v", "_i")["v"].alias("value"))
+
+
+def minimizers(df: DataFrame, k: int, w: int, seq: str = "sequence", canonical_: bool = False, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """keep, kmer and pos of the minimizers of each row."""
+    return _least(df, k, w, seq, canonical_, keep, None).select(*keep, "kmer", "pos")
 
 
 def hash_minimizers(df: DataFrame, k: int, w: int, seq: str = "sequence", canonical_: bool = False, keep: tuple[str, ...] = ("id",), hash_: Callable[[Column], Column] = string_hash) -> DataFrame:
-    """keep, hash, pos and kmer; any function from column to number (a UDF too) serves as hash."""
-    rows = kmer_rows(df, k, seq, canonical_, keep=keep)
-    return _least(rows.withColumn("hash", hash_(F.col("kmer"))), F.struct("hash", "pos", "kmer"), w, keep)
+    """keep, hash, pos and kmer; any built-in function from column to number serves as hash."""
+    return _least(df, k, w, seq, canonical_, keep, hash_).select(*keep, F.col("value").alias("hash"), "pos", "kmer")
+
+
+def minimizer_array(s: Column, k: int, w: int) -> Column:
+    """The minimizers of a sequence in order, as an array; empty where there is no window."""
+    placed = lambda x: F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    own = lambda p, q: F.when(p["at"] > 0, F.slice(q, 2, 1 << 30)).otherwise(q)
+    of = lambda p: bind(windows(p["t"], k), lambda x: bind(placed(x), lambda v: bind(_places(v, w), lambda q: F.transform(own(p, q), lambda i: F.get(x, i)))))
+    return F.coalesce(F.flatten(F.transform(_pieces(normalise(s), k, w), of)), F.array().cast("array<string>"))
 
 
 def density(df: DataFrame, k: int, w: int, seq: str = "sequence", keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """Minimizers per k-mer of each row; null where there is no k-mer."""
-    found = minimizers(df, k, w, seq, keep=keep).groupBy(*keep).agg(F.count(F.lit(1)).alias("n"))
     kmers = F.length(normalise(F.col(seq))) - (k - 1)
-    return df.select(*keep, kmers.alias("kmers")).join(found, list(keep), "left").select(*keep, F.when(F.col("kmers") > 0, F.coalesce("n", F.lit(0)) / F.col("kmers")).alias("density"))
+    return df.select(*keep, F.when(kmers > 0, F.size(minimizer_array(F.col(seq), k, w)) / kmers).alias("density"))
 
 
 def jaccard_pairs(df: DataFrame, pairs: DataFrame, k: int, w: int, seq: str = "sequence") -> DataFrame:
     """id1, id2 and the similarity of their minimizer sets, for the given pairs; 0 where both are empty."""
-    sets = minimizers(df, k, w, seq, keep=("id",)).groupBy("id").agg(F.collect_set("kmer").alias("s"))
+    sets = df.select("id", F.array_distinct(minimizer_array(F.col(seq), k, w)).alias("s"))
     x, y = (sets.select(F.col("id").alias(f"id{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
     none = F.array().cast("array<string>")
     joined = pairs.join(x, "id1", "left").join(y, "id2", "left").withColumn("s1", F.coalesce("s1", none)).withColumn("s2", F.coalesce("s2", none))

@@ -1,55 +1,92 @@
-"""Open reading frames as gaps and islands: the stops number the islands of a frame, and an island's first start codon
-opens its reading frame."""
+"""Open reading frames: the stops of a frame part it into islands, and an island's first start codon opens its frame."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import normalise, reverse_complement, rna_to_dna, strict
+from strandlake.functions.sequence import normalise, pin, reverse_complement, rna_to_dna, strict
 from strandlake.functions.tables import codon_table
 from strandlake.functions.translation import translator
-from strandlake.operators.kmers import bind
+
+_BASE = np.full(256, 4, dtype=np.int64)
+_BASE[np.frombuffer(b"ACGT", dtype=np.uint8)] = range(4)
+
+
+def _marks(codons: list[str]) -> np.ndarray:
+    """Of the 125 codons over A, C, G, T and other, which are listed; a codon with another letter is none."""
+    out = np.zeros(125, dtype=bool)
+    out[[int(np.dot(_BASE[np.frombuffer(c.encode(), dtype=np.uint8)], (25, 5, 1))) for c in codons]] = True
+    return out
+
+
+def frame_islands(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start codon, last codon, and whether that is a stop, of each island of a frame's codons that has a start."""
+    n = len(codes)
+    end = np.flatnonzero(stops[codes])
+    begin = np.append(0, end + 1)
+    end = np.append(end, n - 1)
+    start = np.flatnonzero(starts[codes])
+    at = np.searchsorted(start, begin)
+    first = np.append(start, n)[at]
+    has = first <= end
+    return first[has], end[has], (np.arange(len(end)) < len(end) - 1)[has]
+
+
+def _kernel(starts: list[str], stops: list[str], frames: int, partial: bool, min_length: int):
+    is_start, is_stop = _marks(starts), _marks(stops)
+
+    @F.arrow_udf("array<struct<first:int,f:int,length:int,has_stop:boolean>>")
+    def run(seq: pa.Array) -> pa.Array:
+        sizes, parts = [], []
+        for s in seq.to_pylist():
+            base = _BASE[np.frombuffer((s or "").encode("latin-1", "replace"), dtype=np.uint8)]
+            total = 0
+            for f in range(frames):
+                n = (len(base) - f) // 3
+                if n <= 0:
+                    continue
+                c = base[f : f + 3 * n].reshape(n, 3)
+                a, z, whole = frame_islands(c[:, 0] * 25 + c[:, 1] * 5 + c[:, 2], is_start, is_stop)
+                keep = ((z - a + 1) * 3 >= min_length) & (whole | partial)
+                a, z, whole = a[keep], z[keep], whole[keep]
+                parts.append((f + 3 * a, np.full(len(a), f), (z - a + 1) * 3, whole))
+                total += len(a)
+            sizes.append(total)
+        columns = [np.concatenate(c) if parts else np.zeros(0) for c in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
+        made = pa.StructArray.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns[:3]), pa.array(columns[3].astype(bool))], names=["first", "f", "length", "has_stop"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), made)
+
+    return run
 
 
 def find_orfs(df: DataFrame, seq: str = "sequence", id_: str = "id", min_length: int = 75, include_partial: bool = False, all_frames: bool = True, translate: bool = False, table: int | str = "standard", start_codons: tuple[str, ...] = ("ATG", "AUG"), stop: str = "*") -> DataFrame:
     """id, orf (the sequence), start, end, frame, strand, length, has_stop and, if asked for, protein.
 
     Lengths are in bases and count the stop codon; `end` is exclusive and on the forward strand, frames of the reverse
-    strand are -1, -2, -3.  all_frames=False reads the first forward frame only.
+    strand are -1, -2, -3.  all_frames=False reads the first forward frame only.  Each row is read by itself: ids may
+    repeat or be null; a null sequence has no frame.
     """
     starts = sorted({c.upper().replace("U", "T") for c in start_codons})
     stops = sorted(c for c, a in codon_table(table).items() if a == "*" and "U" not in c)
     if set(starts) & set(stops):
         raise ValueError("a start codon is also a stop codon")
-    s = rna_to_dna(strict(normalise(F.col(seq))))
-    base = df.select(F.col(id_).alias("id"), s.alias("s"))
-    strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("s").alias("t")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("s")).alias("t"))) if all_frames else F.array(F.struct(F.lit("+").alias("strand"), F.col("s").alias("t")))
-    both = base.select("id", F.explode(strands).alias("x")).select("id", "x.*").withColumn("f", F.explode(F.array(*[F.lit(i) for i in (range(3) if all_frames else range(1))])))
-    # Codons come from blocks, as reaching into a long string takes time in proportion to the place.
-    cut = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - 2, F.lit(3)), lambda i: F.substr(b, i, F.lit(3)))
-    codons = bind(F.substr("t", F.col("f") + 1), lambda t: F.when(F.length(t) >= 3, F.flatten(F.transform(F.transform(F.sequence(F.lit(1), F.length(t) - 2, F.lit(768)), lambda j: F.substr(t, j, F.lit(768))), cut))))
-    rows = both.select("id", "strand", "f", F.length("t").alias("n"), F.posexplode(codons).alias("i", "codon")).where(F.col("codon").isin(*starts, *stops) | F.lit(include_partial))
-    order = Window.partitionBy("id", "strand", "f").orderBy("i")
-    is_stop, is_start = F.col("codon").isin(*stops), F.col("codon").isin(*starts)
-    rows = rows.withColumn("island", F.coalesce(F.sum(is_stop.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    spans = rows.groupBy("id", "strand", "f", "island").agg(F.min(F.when(is_start, F.col("i"))).alias("a"), F.max(F.when(is_stop, F.col("i"))).alias("z"), F.max("i").alias("last"), F.first("n").alias("n"))
-    spans = spans.where("a IS NOT NULL" + ("" if include_partial else " AND z IS NOT NULL"))
-    stop_at = F.coalesce("z", "last")
-    length = (stop_at - F.col("a") + 1) * 3
-    first = F.col("f") + F.col("a") * 3
-    found = spans.withColumn("length", length.cast("int")).withColumn("first", first.cast("int")).where(F.col("length") >= min_length)
-    found = found.join(base, "id")
+    run = _kernel(starts, stops, 3 if all_frames else 1, include_partial, min_length)
+    base = pin(df.select(F.col(id_).alias("id"), F.col(seq).alias("_q")), "s", rna_to_dna(strict(normalise(F.col("_q"))))).drop("_q")
+    strands = [F.struct(F.lit("+").alias("strand"), F.col("s").alias("t"))] + [F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("s")).alias("t"))] * all_frames
+    both = base.select("id", F.explode(F.array(*strands)).alias("x")).select("id", "x.*")
+    found = both.withColumn("o", run("t")).select("id", "strand", "t", F.length("t").alias("n"), F.explode("o").alias("o")).select("id", "strand", "t", "n", "o.*")
     forward = F.col("strand") == "+"
-    t = F.when(forward, F.col("s")).otherwise(reverse_complement(F.col("s")))
     out = found.select(
         "id",
-        F.substr(t, F.col("first") + 1, F.col("length")).alias("orf"),
+        F.substr("t", F.col("first") + 1, F.col("length")).alias("orf"),
         F.when(forward, F.col("first")).otherwise(F.col("n") - F.col("first") - F.col("length")).alias("start"),
         F.when(forward, F.col("first") + F.col("length")).otherwise(F.col("n") - F.col("first")).alias("end"),
         F.when(forward, F.col("f")).otherwise(-1 - F.col("f")).alias("frame"),
         "strand",
         "length",
-        F.col("z").isNotNull().alias("has_stop"),
+        "has_stop",
     )
     return out.withColumn("protein", translator(table, stop)(F.col("orf"), F.lit(0))) if translate else out

@@ -22,10 +22,11 @@ from strandlake.operators import kmers as K
 from strandlake.operators import minimizers as M
 from strandlake.operators import stats as ST
 from strandlake.operators.orfs import find_orfs
-from strandlake.session import shared_dir, ship
+from strandlake.session import shared_dir, ship, spread
 from strandlake.sources import fasta as FA
 from strandlake.sources import lines as L
 from strandlake.sources import trees as TREE
+from strandlake.streaming import sequences as STREAM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +47,8 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def dna(spark: SparkSession, d: str, letters: str = "ACGT") -> DataFrame:
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.regexp_replace(F.upper("text"), f"[^{letters}]", "").alias("sequence"))
+    docs = spread(read(spark, d, "documents").select("doc_id", "source", "text"))
+    return docs.select(F.col("doc_id").alias("id"), "source", F.regexp_replace(F.upper("text"), f"[^{letters}]", "").alias("sequence"))
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
@@ -388,13 +390,13 @@ def streaming_stats(spark: SparkSession, d: str) -> DataFrame:
     """Running counts of a stream of FASTA files, read to its end."""
     path, out, name = _folder(spark, "stream"), _folder(spark, "stream-state"), f"stream_{tempfile.mktemp(prefix='', dir='').replace('/', '')}"
     FA.write_fasta(dna(spark, d).where("sequence <> ''").select(F.concat(F.lit("doc"), "id").alias("id"), F.col("source").alias("description"), "sequence"), path)
-    q = FA.stream_fasta(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sequence")).alias("bases")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", out).trigger(availableNow=True).start()
+    q = STREAM.stream_totals(spark, path).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", out).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
 
 def _lines(df: DataFrame, *parts) -> DataFrame:
-    return df.select(F.concat_ws("\t", *parts).alias("value"))
+    return spread(df.select(F.concat_ws("\t", *parts).alias("value")))
 
 
 def _int(c: str):
@@ -454,15 +456,16 @@ def sam_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, q AS matches, 2 AS insertions, 3 AS deletions, 4 AS soft_clips, q + 5 AS aligned_length, q + 3 AS reference_length, q + 6 AS query_length, 4 AS ops, true AS ok, q || 'M2I3D4S' AS cigar FROM (SELECT *, CAST(l_quantity AS INT) AS q FROM lineitem)")
 def cigar_stats(spark: SparkSession, d: str) -> DataFrame:
     c = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M2I3D4S"))
-    ops = C.parse(c)
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.stats(ops).alias("s"), F.size(ops).alias("ops"), C.valid(c).alias("ok"), C.format_ops(ops).alias("cigar")).select("l_orderkey", "l_linenumber", *[f"s.{k}" for k in ("matches", "insertions", "deletions", "soft_clips", "aligned_length", "reference_length", "query_length")], "ops", "ok", "cigar")
+    x = S.pin(spread(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.alias("c"))), "o", C.parse(F.col("c")))
+    x = S.pin(x, "s", C.stats(F.col("o")))
+    return x.select("l_orderkey", "l_linenumber", *[f"s.{k}" for k in ("matches", "insertions", "deletions", "soft_clips", "aligned_length", "reference_length", "query_length")], F.size("o").alias("ops"), C.valid(F.col("c")).alias("ok"), C.format_ops(F.col("o")).alias("cigar"))
 
 
 @query("SELECT l_orderkey, l_linenumber, repeat('A', q) || 'CC' || '---' || 'gggg' AS query, repeat('A', q) || '--' || 'NNN' || '----' AS reference FROM (SELECT *, CAST(l_quantity AS INT) AS q FROM lineitem)")
 def cigar_aligned(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     c, s = F.concat(q.cast("string"), F.lit("M2I3D4S")), F.concat(F.repeat(F.lit("A"), q), F.lit("CCGGGG"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.aligned(c, s).alias("x")).select("l_orderkey", "l_linenumber", "x.query", "x.reference")
+    return spread(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", C.aligned(c, s).alias("x")).select("l_orderkey", "l_linenumber", "x.query", "x.reference")
 
 
 @query("SELECT CAST(l_orderkey & 4095 AS BIGINT) AS flag, (l_orderkey & 4) <> 0 AS unmapped, (l_orderkey & 256) <> 0 AS secondary FROM lineitem")
@@ -512,6 +515,131 @@ def genbank_features(spark: SparkSession, d: str) -> DataFrame:
     return TREE.genbank_to_fasta(records, include_features=True)
 
 
+# Rows that share an id: each is read by itself
+
+
+def _seven(spark: SparkSession, d: str) -> DataFrame:
+    return dna(spark, d).withColumn("id", F.when(F.col("id") % 7 > 0, F.col("id") % 7))
+
+
+@query(f"WITH {kmers_sql(5)}, {_min_sql("{'kmer': kmer, 'pos': pos}")} SELECT nullif(id % 7, 0) AS id, b.kmer AS kmer, b.pos AS pos FROM m")
+def minimizers_repeated_ids(spark: SparkSession, d: str) -> DataFrame:
+    return M.minimizers(_seven(spark, d), 5, 10)
+
+
+@query(f"WITH {_HASHED}, {_min_sql("{'hash': hash, 'pos': pos, 'kmer': kmer}")} SELECT nullif(id % 7, 0) AS id, b.hash AS hash, b.pos AS pos, b.kmer AS kmer FROM m")
+def hash_minimizers_repeated_ids(spark: SparkSession, d: str) -> DataFrame:
+    return M.hash_minimizers(_seven(spark, d), 5, 10)
+
+
+@query(ORACLE_SQL["super_kmers"].replace("SELECT id, part", "SELECT nullif(id % 7, 0) AS id, part"))
+def super_kmers_repeated_ids(spark: SparkSession, d: str) -> DataFrame:
+    return K.super_kmers(_seven(spark, d), 4, canonical_=True)
+
+
+@query(ORACLE_SQL["debruijn_edges"])
+def debruijn_edges_repeated_ids(spark: SparkSession, d: str) -> DataFrame:
+    return G.build(_seven(spark, d), 7)[1].drop("first_seen")
+
+
+@query(ORACLE_SQL["orfs"].replace("SELECT id, CAST(CASE", "SELECT nullif(id % 7, 0) AS id, CAST(CASE"))
+def orfs_repeated_ids(spark: SparkSession, d: str) -> DataFrame:
+    return find_orfs(_seven(spark, d), min_length=30).drop("orf").withColumnRenamed("end", "end_")
+
+
+# Keys that repeat, headers, texts of whole files
+
+
+@query("SELECT 'r' || l_orderkey AS qname, CAST(l_suppkey AS BIGINT) AS nm, 'z' || l_linenumber AS rg, 2 AS tags FROM lineitem")
+def sam_duplicate_tags(spark: SparkSession, d: str) -> DataFrame:
+    tag = lambda k, c: F.concat(F.lit(k), F.col(c).cast("bigint").cast("string"))
+    li = _lines(read(spark, d, "lineitem"), tag("r", "l_orderkey"), F.lit("0\tchr1\t7\t60\t4M\t*\t0\t0\tACGT\tIIII"), tag("NM:i:", "l_partkey"), tag("RG:Z:a", "l_suppkey"), tag("NM:i:", "l_suppkey"), tag("RG:Z:z", "l_linenumber"))
+    return L.parse_sam(li).select("qname", F.col("tags")["NM"]["i"].alias("nm"), F.col("tags")["RG"]["z"].alias("rg"), F.size("tags").alias("tags"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS pos, CAST(o_custkey AS DOUBLE) AS dp, '1|1' AS gt, 2 AS keys, 'DP=' || o_custkey || ';DB' AS info FROM orders")
+def vcf_duplicate_info(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(read(spark, d, "orders"), F.lit("20"), _int("o_orderkey"), F.lit(".\tG\tA\t.\tPASS"), F.concat(F.lit("DP=1;DB;DP="), _int("o_custkey")), F.lit("GT:GT\t0|1:1|1"))
+    v = L.parse_vcf(lines)
+    text = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"]["b"], e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]["s"]))), ";")
+    return v.select("pos", F.col("info")["DP"]["d"].alias("dp"), F.col("samples")[0]["GT"].alias("gt"), F.size("info").alias("keys"), text.alias("info"))
+
+
+@query("SELECT 'SQ' AS kind, 'chr' || s_suppkey AS sn, CAST(s_suppkey * 10 AS VARCHAR) AS ln, CAST(NULL AS VARCHAR) AS comment FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT 'CO', NULL, NULL, 'of ' || s_name || chr(9) || 'x' FROM supplier UNION ALL SELECT 'HD', NULL, NULL, NULL")
+def sam_header(spark: SparkSession, d: str) -> DataFrame:
+    """A whole SAM file, written with its header and read back: the header's lines."""
+    s = read(spark, d, "supplier")
+    key = _int("s_suppkey")
+    head = L.with_header(spark, ["@HD\tVN:1.6\tSO:unsorted\tSO:coordinate", "@SQ\tSN:none\tLN:0"], s.select(F.explode(F.array(F.concat(F.lit("@SQ\tSN:chr"), key, F.lit("\tLN:5\tLN:"), key, F.lit("0")), F.concat(F.lit("@CO\tof "), "s_name", F.lit("\tx")))).alias("value")))
+    body = s.select(F.concat(F.lit("r"), key, F.lit("\t0\tchr1\t7\t60\t4M\t*\t0\t0\tACGT\tIIII")).alias("value"))
+    path = _folder(spark, "sam")
+    L.write_lines(spark, L.parse_sam_header(head).select(L.format_sam_header().alias("value")), body, path)
+    back = L.parse_sam_header(spark.read.text(path))
+    return back.select("kind", F.col("fields")["SN"].alias("sn"), F.col("fields")["LN"].alias("ln"), "comment")
+
+
+@query("SELECT 'contig' AS kind, 'c' || s_suppkey AS id, CAST(s_suppkey AS VARCHAR) AS length, 0 AS samples FROM supplier UNION ALL SELECT 'info', 'DP', NULL, 0 UNION ALL SELECT 'fileformat', NULL, NULL, 0 UNION ALL SELECT 'samples', NULL, NULL, 2")
+def vcf_header(spark: SparkSession, d: str) -> DataFrame:
+    """A whole VCF file, written with its header and read back: the header's lines."""
+    s = read(spark, d, "supplier")
+    head = L.format_vcf_header("VCFv4.2", [], [{"ID": "DP", "Number": "1", "Type": "Integer", "Description": "Depth, total"}], [], [], ["a", "b"])
+    contigs = s.select(F.concat(F.lit("##contig=<ID=x,ID=c"), _int("s_suppkey"), F.lit(",length="), _int("s_suppkey"), F.lit(">")).alias("value"))
+    path = _folder(spark, "vcf")
+    L.write_lines(spark, head, contigs.unionByName(s.select(F.concat(F.lit("20\t"), _int("s_suppkey"), F.lit("\t.\tA\tC\t.\t.\tDB\tGT\t0|1\t1|1")).alias("value"))), path)
+    h = L.parse_vcf_header(spark.read.text(path))
+    return h.select("kind", F.col("fields")["ID"].alias("id"), F.col("fields")["length"].alias("length"), F.when(F.col("kind") == "samples", F.size("values")).otherwise(0).alias("samples"))
+
+
+@query("SELECT c_custkey AS id, CAST(pos AS INT) AS pos, 'a' || pos AS rec, CASE pos WHEN 0 THEN 'of ' || c_custkey END AS description, 'ACGT' || repeat('G', c_custkey % 5) AS sequence FROM customer, unnest(range(0, 2)) t(pos)")
+def fasta_text(spark: SparkSession, d: str) -> DataFrame:
+    """Two records in a text column of every customer."""
+    g = F.repeat(F.lit("G"), (F.col("c_custkey") % 5).cast("int"))
+    text = F.concat(F.lit("junk\n>a0 of "), F.col("c_custkey").cast("string"), F.lit("\n ACGT \n\n"), g, F.lit("\n>\nAA\n>a1\nACGT"), g)
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("value"))
+    found = FA.parse_fasta_text(rows.withColumnRenamed("id", "key"), keep=("key",))
+    return found.select(F.col("key").alias("id"), F.when(F.col("id") == "a0", 0).otherwise(1).alias("pos"), F.col("id").alias("rec"), "description", "sequence")
+
+
+@query("SELECT c_custkey AS k_id, 'q' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'even' END AS description, 'ACG' AS sequence, '@+I' AS quality FROM customer")
+def fastq_text(spark: SparkSession, d: str) -> DataFrame:
+    """A record, a blank line and an unfinished record in a text column of every customer."""
+    text = F.concat(F.lit("@q"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, " even").otherwise(""), F.lit("\nACG\n+\n@+I\n@cut\nA"))
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("value"))
+    return FA.parse_fastq_text(rows).select("k_id", "id", "description", "sequence", "quality")
+
+
+@query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'ACC' || n_nationkey ELSE 'N' || n_nationkey END AS id, n_name || ' more' AS description, 'ACGTACGT' AS sequence FROM nation")
+def embl_to_fasta(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("string")
+    accession = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("AC   ACC"), key, F.lit(";\n"))).otherwise("")
+    text = F.concat(F.lit("ID   N"), key, F.lit("; SV 1; linear; DNA; STD; UNC; 8 BP.\n"), accession, F.lit("DE   "), "n_name", F.lit("\nDE   more\nSQ   Sequence 8 BP;\n     acgtacgt                 8\n//"))
+    return TREE.embl_to_fasta(read(spark, d, "nation").select(TREE.parse_embl(text).alias("r")).select("r.*"))
+
+
+@query("SELECT n_nationkey AS id, n_nationkey % 3 = 0 AS ok FROM nation")
+def newick_valid(spark: SparkSession, d: str) -> DataFrame:
+    name = F.col("n_name")
+    text = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("(("), name, F.lit(":1,B)x:0.5,C);"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("(("), name, F.lit(",B);"))).otherwise(F.concat(F.lit("("), name, F.lit(":z,B);")))
+    return read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), TREE.is_newick(text).alias("ok"))
+
+
+@query(f"WITH {D} SELECT id, regexp_full_match(s, '[ACGT]*') AS ok, CAST(length(s) AS INT) AS bases FROM d")
+def strict_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Strict mode lets every sequence of bases through."""
+    s = S.strict(F.col("sequence"))
+    return dna(spark, d).select("id", S.is_nucleotides(F.col("sequence")).alias("ok"), F.length(s).alias("bases"))
+
+
+@query(f"WITH {D}, {_codes_sql([1])}, {_translate_sql('SELECT id, 0 AS frame, s AS t FROM d')} SELECT 'doc' || id AS id, protein FROM r WHERE protein <> '' OR id IN (SELECT id FROM d WHERE s <> '')")
+def streaming_translate(spark: SparkSession, d: str) -> DataFrame:
+    """Translations of a stream of FASTA files, read to its end."""
+    path, state, out = _folder(spark, "stream"), _folder(spark, "stream-state"), _folder(spark, "stream-out")
+    FA.write_fasta(dna(spark, d).where("sequence <> ''").select(F.concat(F.lit("doc"), "id").alias("id"), F.col("source").alias("description"), "sequence"), path)
+    q = STREAM.stream_translations(spark, path).writeStream.outputMode("append").format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("id", "protein")
+
+
 # Alignment: every nation's name against its region's
 
 

@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandlake.session import ship
 
@@ -77,6 +79,16 @@ def valid_newick(text: str) -> bool:
         return False
 
 
+def is_newick(text: Column) -> Column:
+    """Whether a string column's tree is well formed; null stays null."""
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else valid_newick(t) for t in texts.to_pylist()], pa.bool_())
+
+    return run(text)
+
+
 TREE = "node_id int, parent_id int, child_idx int, depth int, name string, length double, is_leaf boolean"
 
 
@@ -237,7 +249,14 @@ def embl_record(text: str) -> dict:
 
 
 def _parser(function, kind: str, text: Column) -> Column:
-    return F.udf(function, T._parse_datatype_string(kind), useArrow=False)(text)
+    spark_type = T._parse_datatype_string(kind)
+    arrow_type = to_arrow_type(spark_type)
+
+    @F.arrow_udf(spark_type)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else function(t) for t in texts.to_pylist()], arrow_type)
+
+    return run(text)
 
 
 def parse_genbank(text: Column) -> Column:

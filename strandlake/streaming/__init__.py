@@ -1 +1 @@
-
+"""Queries over files as they arrive."""
