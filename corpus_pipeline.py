@@ -31,11 +31,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of exact and near duplicates (one row of it, if rows repeat)."""
+    """The document of least doc_id of each group of exact and near duplicates (one row of it, if rows repeat).
+
+    Rows without a doc_id can't be named in a link: one of each text stays.
+    """
     groups = join_components(docs)
-    kept = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     known = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS).dropDuplicates(["text"]))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +66,12 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: Not expressible in SQL; tests hold join_components and remove_repeats, not the stages or run(), against brute force.
+#: Not expressible in SQL; tests/llm/test_pipeline.py holds the stages and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: every stage works on the written result of the one before."""
     scratch = Scratch(tune(spark), "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
