@@ -124,23 +124,22 @@ def measure(queries: np.ndarray, owner: np.ndarray, neighbours: np.ndarray, rows
     if not len(neighbours):
         return Setting(k, 1, 1.0, float(n))
     first = np.full(len(neighbours), np.iinfo(np.int64).max)
-    ordered, of_rows = [], []
-    for (_, near), (_, theirs), (_, every) in zip(rotations(queries, tables, k, seed), rotations(neighbours, tables, k, seed), rotations(rows, tables, k, seed), strict=True):
-        code, score = ranked_buckets(near, AXES[k])
-        ordered.append(-np.sort(-score, axis=1))
+    # A table at a time, twice, so that the scores of all tables are never held together.
+    for (_, near), (_, theirs) in zip(rotations(queries, tables, k, seed), rotations(neighbours, tables, k, seed), strict=True):
+        ordered = np.sort(-ranked_buckets(near, AXES[k])[1], axis=1)
         value, inside = np.zeros(len(neighbours)), np.ones(len(neighbours), dtype=bool)
-        reached = np.zeros((len(queries), len(rows)))
-        for s, y, z in zip(near, theirs, every, strict=True):
+        for s, y in zip(near, theirs, strict=True):
             v = s[owner, y.argmax(axis=1)]
-            m = min(AXES[k] or s.shape[1], s.shape[1])
-            inside &= v >= -np.sort(-s, axis=1)[owner, m - 1]
+            inside &= v >= -np.sort(-s, axis=1)[owner, min(AXES[k] or s.shape[1], s.shape[1]) - 1]
             value += v
-            reached += s[:, z.argmax(axis=1)]
-        rank = (ordered[-1][owner] > value[:, None] + 1e-12).sum(axis=1)
+        rank = np.array([np.searchsorted(ordered[q], -v - 1e-12) for q, v in zip(owner, value, strict=True)])
         first[inside] = np.minimum(first[inside], rank[inside])
-        of_rows.append(reached)
-    p = int(min(np.sort(first)[max(0, math.ceil(target * len(first)) - 1)], ordered[0].shape[1] - 1)) + 1
-    share = sum(float((r >= o[:, p - 1 : p] - 1e-12).mean()) for r, o in zip(of_rows, ordered, strict=True))
+    p = int(min(np.sort(first)[max(0, math.ceil(target * len(first)) - 1)], ordered.shape[1] - 1)) + 1
+    share = 0.0
+    for (_, near), (_, every) in zip(rotations(queries, tables, k, seed), rotations(rows, tables, k, seed), strict=True):
+        least = -np.partition(-ranked_buckets(near, AXES[k])[1], p - 1, axis=1)[:, p - 1 : p]
+        reached = sum(s[:, z.argmax(axis=1)] for s, z in zip(near, every, strict=True))
+        share += float((reached >= least - 1e-12).mean())
     return Setting(k, p, float((first < p).mean()), share * n)
 
 
