@@ -35,6 +35,8 @@ AXES = {1: None, 2: 64, 3: 24}
 PROBE_WORK = 0.1
 #: Vectors of a block that candidates are reranked in, and entries of a bucket's block.
 BLOCK = 2048
+#: Blocks whose candidates of one query are made distinct together: at most so many blocks' entries in one list.
+HOMES = 4096
 #: Queries that meet a block at a time.
 QUERY_BLOCK = 4096
 TOP = 10
@@ -226,21 +228,44 @@ def search(vectors: DataFrame, queries: Column, top: int = TOP, tables: int = TA
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), code.shape[1])), pa.array(np.full(code.size, t, dtype=np.int32)), pa.array(code.ravel())], names=["query", "t", "bucket"])
 
     indexed = scratch.write(entries.select("entry", "v").mapInArrow(index, "entry long, t int, bucket long"), "index")
-    # A large bucket is dealt into blocks; a probe meets each of them.
-    sizes = indexed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = indexed.join(sizes, ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).drop("blocks")
-    probed = wanted.mapInArrow(probe, "query long, t int, bucket long").join(sizes, ["t", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    home = F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(max(1, -(-n // block)))).cast("int")
-    met = placed.join(probed, ["t", "bucket", "part"]).select("query", "entry", home.alias("home"))
-    # Distinct candidates of a query, listed by the block of vectors that they stand in: a list is no longer than a block.
-    lists = scratch.write(met.groupBy("query", "home").agg(F.collect_set("entry").alias("entries")), "lists")
+    # A bucket is a list of its entries, a large one several; a probe gets whole lists.
+    sizes = indexed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")
+    listed = indexed.join(sizes, ["t", "bucket"]).groupBy("t", "bucket", part.alias("part")).agg(F.collect_list("entry").alias("entries"))
+    probed = wanted.mapInArrow(probe, "query long, t int, bucket long")
+    homes = max(1, -(-n // block))
+    # The distinct candidates of a query and a share of all blocks of vectors, however often probes met them, ...
+    shares = max(1, -(-homes // HOMES))
+    of_share = lambda x, i: F.pmod(F.xxhash64(x, F.lit(1)), F.lit(shares)) == i
+    met = probed.join(listed, ["t", "bucket"]).select("query", "entries")
+    if shares > 1:
+        met = met.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("entries", F.filter("entries", lambda x: of_share(x, F.col("share")))).where(F.size("entries") > 0)
+    else:
+        met = met.withColumn("share", F.lit(0))
+    once = met.groupBy("query", "share").agg(F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"))
+    # ... listed by the block that they stand in.
+    home = F.pmod(F.xxhash64("entry"), F.lit(homes)).cast("int")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (piece for whole in batches for piece in slices(whole)):
+            found = b.column(1)
+            owner = np.repeat(b.column(0).to_numpy(), found.value_lengths().to_numpy())
+            values, at = found.flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            order = np.lexsort((values, at, owner))
+            owner, values, at = owner[order], values[order], at[order]
+            first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1]))) if len(owner) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(at[first].astype(np.int32)), lists], names=["query", "home", "entries"])
+
+    at_home = F.transform("entries", lambda x: F.pmod(F.xxhash64(x), F.lit(homes)).cast("int"))
+    lists = scratch.write(once.select("query", "entries", at_home.alias("homes")).mapInArrow(deal, "query long, home int, entries array<long>"), "lists")
     scratch.drop("index")
     placed_rows = entries.select("entry", "v", "ids", home.alias("home"))
     best = scratch.write(_nearest(placed_rows, lists.join(wanted, "query"), top), "best")
     reached = best.groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
     short = scratch.write(wanted.join(reached.where(F.col("n") > top), "query", "left_anti"), "short")
     if not short.isEmpty():
-        every = F.sequence(F.lit(0), F.lit(max(1, -(-n // block)) - 1))
+        every = F.sequence(F.lit(0), F.lit(homes - 1))
         again = _nearest(placed_rows, short.withColumn("entries", F.lit(None).cast("array<long>")).withColumn("home", F.explode(every)), top)
         best = scratch.write(best.join(short.select("query"), "query", "left_anti").unionByName(again), "whole")
     out = asked.join(best.select(F.col("query").alias("entry"), "score", F.explode("ids").alias("vec_id")), "entry").where("vec_id <> query_id")
