@@ -39,7 +39,8 @@ MOST_SMALL = 12
 SKETCH = 1024
 #: Leaders that a heavy list is linked to before what remains is compared in blocks.
 LEADERS = 3
-BLOCK_H, BLOCK_M = 4096, 4096
+#: Rows of either side of a block: some 200 bytes each, so that a task holds 13 MB, and a list is copied to few blocks.
+BLOCK_H, BLOCK_M = 32768, 32768
 #: Ids up to this number are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 250_000
 _U = np.uint64
