@@ -122,7 +122,7 @@ def parse_matrix(text: str) -> Matrix:
 
 
 def load_matrix(name: str, path: str) -> Matrix:
-    """Reads a matrix file and registers it under the name (BLOSUM45, BLOSUM50, BLOSUM80, BLOSUM90, PAM30, ... ship as files)."""
+    """Reads a matrix file (BLOSUM45, PAM250 and the like; none ships) and registers it under the name."""
     with open(path) as f:
         MATRICES[name.upper()] = parse_matrix(f.read())
     return MATRICES[name.upper()]
