@@ -5,6 +5,7 @@ Sequences are derived from the documents: the letters of a text that are bases,
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -215,7 +216,11 @@ _TIPS = "b AS (SELECT dst AS cur, arg_min(src, {'s': seen, 'k': src}) AS prev FR
 )
 
 
-@query(f"WITH {kmers_sql(9)}, {_PRUNED}, {_DEG}, {_TIPS} SELECT kmer, coverage FROM n WHERE kmer NOT IN (SELECT tip FROM w4 WHERE steps <= 3)")
+#: Each part is read more than once: written out once, the SQL ends.
+_ONCE = re.sub(r"\b(k|n|e0|e|g|b|w\d) AS \(", r"\1 AS MATERIALIZED (", f"{kmers_sql(9)}, {_PRUNED}, {_DEG}, {_TIPS}")
+
+
+@query(f"WITH {_ONCE} SELECT kmer, coverage FROM n WHERE kmer NOT IN (SELECT tip FROM w4 WHERE steps <= 3)")
 def graph_without_tips(spark: SparkSession, d: str) -> DataFrame:
     return G.remove_tips(*G.build(dna(spark, d), 9, min_coverage=4), 3)[0].drop("first_seen")
 
