@@ -311,7 +311,13 @@ def orfs_partial(spark: SparkSession, d: str) -> DataFrame:
     return find_orfs(dna(spark, d), min_length=30, include_partial=True).drop("orf").withColumnRenamed("end", "end_")
 
 
-@query()
+_CODONS = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in codon_table(1).items() if "U" not in c) + "}"
+
+
+@query(
+    f"WITH x AS ({_orf_sql(False)}), {D}, y AS (SELECT x.*, substr(CASE strand WHEN '+' THEN s ELSE {RC} END, CAST(CASE strand WHEN '+' THEN start ELSE length(s) - end_ END AS INT) + 1, length) AS orf FROM x JOIN d USING (id)) "
+    f"SELECT *, array_to_string([{_CODONS}[substr(orf, CAST(i AS INT) * 3 + 1, 3)] FOR i IN range(0, length // 3)], '') AS protein FROM y"
+)
 def orf_proteins(spark: SparkSession, d: str) -> DataFrame:
     return find_orfs(dna(spark, d), min_length=30, translate=True).withColumnRenamed("end", "end_")
 
