@@ -672,6 +672,55 @@ def align_self(spark: SparkSession, d: str) -> DataFrame:
     return AL.align(x, "global", normalise=False).select("id", "score", "alignment_length", F.col("aligned_seq1").alias("aligned"))
 
 
+def _align_sql(mode: str, gap_open: int = -10, gap_extend: int = -1, bandwidth: int | None = None) -> str:
+    """A cell a step, in reading order, of every pair; then a step of the way back at a time.
+
+    Lists hold the cells so far: the score, the way (0 none, 1 both, 2 first, 3 second) and the best gaps that end there.
+    """
+    from strandlake.functions.tables import get_matrix
+
+    table = get_matrix("BLOSUM62")
+    letters = sorted({a for a, _ in table})
+    worth = f"CASE WHEN strpos('{''.join(letters)}', x) * strpos('{''.join(letters)}', y) > 0 THEN [{', '.join(str(table[a, b]) for a in letters for b in letters)}][(strpos('{''.join(letters)}', x) - 1) * {len(letters)} + strpos('{''.join(letters)}', y)] ELSE 0 END"
+    low, clean, single = "CAST(-1e18 AS DOUBLE)", mode in ("global", "local"), mode in ("global", "local")
+    ramp = lambda k, open_: f"{gap_open} + ({k} - 1) * {gap_extend}" if open_ else "0"
+    top, side = mode in ("global", "banded"), mode in ("global", "banded", "overlap")
+    inside = f"abs(i - j) <= {bandwidth}" if bandwidth is not None else "true"
+    up = f"uh + CASE uw WHEN '2' THEN {gap_extend} ELSE {gap_open} END" if single else f"greatest(uh + {gap_open}, ue + {gap_extend})"
+    left = f"lh + CASE lw WHEN '3' THEN {gap_extend} ELSE {gap_open} END" if single else f"greatest(lh + {gap_open}, lg + {gap_extend})"
+    best = "greatest(dg, up, lft)"
+    way = f"CASE WHEN dg = {best} THEN '1' WHEN up = {best} THEN '2' ELSE '3' END"
+    if mode == "local":
+        way, best = f"CASE WHEN {best} > 0 THEN {way} ELSE '0' END", f"greatest({best}, 0)"
+    free = "i * j > 0"
+    most = "list_position(h, list_max(h)) - 1"
+    by_row, by_column = "list_position(h[CAST(m * (n + 1) + 1 AS INT):], list_max(h[CAST(m * (n + 1) + 1 AS INT):])) - 1", "list_position(c, list_max(c)) - 1"
+    end = {
+        "local": (f"({most}) // (n + 1)", f"({most}) % (n + 1)"),
+        "overlap": (by_column, "n"),
+        "semi": (f"CASE WHEN list_max(c) > list_max(h[CAST(m * (n + 1) + 1 AS INT):]) THEN {by_column} ELSE m END", f"CASE WHEN list_max(c) > list_max(h[CAST(m * (n + 1) + 1 AS INT):]) THEN n ELSE {by_row} END"),
+    }.get(mode, ("m", "n"))
+    go = "h[CAST(i * (n + 1) + j + 1 AS INT)] > 0" if mode == "local" else "true"
+    loose = mode in ("semi", "overlap")
+    one, two = ("repeat('-', bj) || substr(a, 1, bi) || x || substr(a, ei + 1) || repeat('-', n - ej)", "substr(b, 1, bj) || repeat('-', bi) || y || repeat('-', m - ei) || substr(b, ej + 1)") if loose else ("x", "y")
+    name = (lambda c: f"upper(trim({c}))") if clean else (lambda c: c)
+    return f"""WITH RECURSIVE p AS (SELECT *, CAST(length(a) AS INT) AS m, CAST(length(b) AS INT) AS n FROM (SELECT n_nationkey AS id, n_name AS seq1, r_name AS seq2, {name('n_name')} AS a, {name('r_name')} AS b FROM nation JOIN region ON n_regionkey = r_regionkey{f' WHERE abs(length(n_name) - length(r_name)) <= {bandwidth}' if bandwidth is not None else ''})),
+f AS (SELECT id, 0 AS k, [CAST(0 AS DOUBLE)] AS h, '0' AS w, [{low}] AS e, [{low}] AS g FROM p UNION ALL
+SELECT id, k + 1, list_append(h, CAST(CASE WHEN NOT {inside} THEN {low} WHEN {free} THEN {best} WHEN i = 0 THEN {ramp('j', top)} ELSE {ramp('i', side)} END AS DOUBLE)),
+w || CASE WHEN {free} THEN CASE WHEN {inside} THEN {way} ELSE '0' END WHEN i = 0 THEN '{'3' if top else '0'}' ELSE '{'2' if side else '0'}' END,
+list_append(e, CASE WHEN {free} AND {inside} THEN CAST(up AS DOUBLE) ELSE {low} END), list_append(g, CASE WHEN {free} AND {inside} THEN CAST(lft AS DOUBLE) ELSE {low} END)
+FROM (SELECT *, dh + {worth} AS dg, {up} AS up, {left} AS lft FROM (SELECT f.*, m, n, (k + 1) // (n + 1) AS i, (k + 1) % (n + 1) AS j, h[k - n] AS dh, h[k + 1 - n] AS uh, h[k + 1] AS lh, substr(w, k + 1 - n, 1) AS uw, substr(w, k + 1, 1) AS lw, e[k + 1 - n] AS ue, g[k + 1] AS lg,
+upper(substr(a, (k + 1) // (n + 1), 1)) AS x, upper(substr(b, (k + 1) % (n + 1), 1)) AS y FROM f JOIN p USING (id) WHERE k + 1 < (m + 1) * (n + 1)))),
+z AS (SELECT id, h, w, CAST({end[0]} AS INT) AS ei, CAST({end[1]} AS INT) AS ej FROM (SELECT f.*, m, n, [h[CAST(v * (n + 1) + n + 1 AS INT)] FOR v IN range(0, m + 1)] AS c FROM f JOIN p USING (id) WHERE k + 1 = (m + 1) * (n + 1))),
+t AS (SELECT id, 0 AS step, ei AS i, ej AS j, '' AS x, '' AS y FROM z UNION ALL
+SELECT id, step + 1, CAST(i - CAST(v <> '3' AS INT) AS INT), CAST(j - CAST(v <> '2' AS INT) AS INT), CASE v WHEN '3' THEN '-' ELSE substr(a, i, 1) END || x, CASE v WHEN '2' THEN '-' ELSE substr(b, j, 1) END || y
+FROM (SELECT t.*, a, b, substr(w, i * (n + 1) + j + 1, 1) AS v, {go} AS go FROM t JOIN p USING (id) JOIN z USING (id)) WHERE go AND (v = '1' AND i * j > 0 OR v = '2' AND i > 0 OR v = '3' AND j > 0)),
+r AS (SELECT id, max(step) AS steps, arg_max(i, step) AS bi, arg_max(j, step) AS bj, arg_max(x, step) AS x, arg_max(y, step) AS y FROM t GROUP BY id),
+o AS (SELECT id, seq1, seq2, {one} AS aligned_seq1, {two} AS aligned_seq2, h[CAST(ei * (n + 1) + ej + 1 AS INT)] AS score, bi, bj, ei, ej FROM p JOIN z USING (id) JOIN r USING (id)),
+s AS (SELECT *, CAST(len([v FOR v IN range(1, length(aligned_seq1) + 1) IF aligned_seq1[v] = aligned_seq2[v] AND aligned_seq1[v] <> '-']) AS INT) AS identity, CAST(length(aligned_seq1) AS INT) AS alignment_length FROM o)
+SELECT id, seq1, seq2, aligned_seq1, aligned_seq2, score, {'bi' if mode == 'local' else 'CAST(0 AS INT)'} AS start_pos1, {'bj' if mode == 'local' else 'CAST(0 AS INT)'} AS start_pos2, ei AS end_pos1, ej AS end_pos2, identity, CASE WHEN alignment_length > 0 THEN CAST(100 AS DOUBLE) * identity / alignment_length ELSE 0 END AS identity_percent, alignment_length FROM s"""
+
+
 def _align(mode: str, **options):
     def run(spark: SparkSession, d: str) -> DataFrame:
         x = _names(spark, d)
@@ -683,5 +732,6 @@ def _align(mode: str, **options):
     return run
 
 
-for _mode, _options in (("global", {}), ("local", {}), ("semi", {}), ("overlap", {}), ("banded", {"bandwidth": 16}), ("hirschberg", {})):
-    query()(_align(_mode, **_options))
+for _mode, _options in (("global", {}), ("local", {}), ("semi", {}), ("overlap", {}), ("banded", {"bandwidth": 10})):
+    query(_align_sql(_mode, **_options))(_align(_mode, **_options))
+query()(_align("hirschberg"))
