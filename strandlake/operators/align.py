@@ -42,51 +42,60 @@ def _codes(seqs: list[str], width: int) -> np.ndarray:
 
 
 def fill(mode: str, s1: list[str], s2: list[str], table: np.ndarray, gap_open: float, gap_extend: float, band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and directions, pairs x (m + 1) x (n + 1).  mode: global, local, semi, overlap or banded."""
+    """Scores and directions, pairs x (m + 1) x (n + 1).  mode: global, local, semi, overlap or banded.
+
+    With a band, the last axis holds only the 2 * band + 1 columns about the diagonal, between two that stay low: cell
+    (i, j) is at j - i + band + 1, so that memory grows with the length times the band.
+    """
     b, m, n = len(s1), max(map(len, s1)), max(map(len, s2))
     x, y = _codes(s1, m), _codes(s2, n)
-    H = np.full((b, m + 1, n + 1), LOW)
-    D = np.zeros((b, m + 1, n + 1), dtype=np.int8)
+    at = (lambda i, j: j) if band is None else lambda i, j: j - i + band + 1
+    H = np.full((b, m + 1, _width(n, band)), LOW)
+    D = np.zeros(H.shape, dtype=np.int8)
     E, G = np.full((b, m + 1), LOW), np.full((b, m + 1), LOW)  # gaps going down and right, by row, of the last diagonal
     ramp = lambda k: gap_open + (np.arange(1, k + 1) - 1) * gap_extend
-    H[:, 0, 0] = 0
-    H[:, 0, 1:] = ramp(n) if mode in ("global", "banded") else 0
-    H[:, 1:, 0] = ramp(m) if mode in ("global", "banded", "overlap") else 0
+    i, j = np.arange(1, (m if band is None else min(m, band)) + 1), np.arange(1, (n if band is None else min(n, band)) + 1)
+    H[:, 0, at(0, 0)] = 0
+    H[:, 0, at(0, j)] = ramp(len(j)) if mode in ("global", "banded") else 0
+    H[:, i, at(i, 0)] = ramp(len(i)) if mode in ("global", "banded", "overlap") else 0
     if mode in ("global", "banded"):
-        D[:, 0, 1:] = LEFT
+        D[:, 0, at(0, j)] = LEFT
     if mode in ("global", "banded", "overlap"):
-        D[:, 1:, 0] = UP
-    if band is not None:
-        H[:, 0, band + 1 :] = LOW
-        H[:, band + 1 :, 0] = LOW
+        D[:, i, at(i, 0)] = UP
     single = mode in ("global", "local")
     for d in range(2, m + n + 1):
-        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
+        first, last = max(1, d - n), min(m, d - 1)
         if band is not None:
-            i = i[np.abs(d - 2 * i) <= band]
+            first, last = max(first, (d - band + 1) // 2), min(last, (d + band) // 2)
+        i = np.arange(first, last + 1)
         if not len(i):
             continue
         j = d - i
-        diagonal = H[:, i - 1, j - 1] + table[x[:, i - 1], y[:, j - 1]]
+        diagonal = H[:, i - 1, at(i - 1, j - 1)] + table[x[:, i - 1], y[:, j - 1]]
         if single:
-            up = H[:, i - 1, j] + np.where(D[:, i - 1, j] == UP, gap_extend, gap_open)
-            left = H[:, i, j - 1] + np.where(D[:, i, j - 1] == LEFT, gap_extend, gap_open)
+            up = H[:, i - 1, at(i - 1, j)] + np.where(D[:, i - 1, at(i - 1, j)] == UP, gap_extend, gap_open)
+            left = H[:, i, at(i, j - 1)] + np.where(D[:, i, at(i, j - 1)] == LEFT, gap_extend, gap_open)
         else:
-            up = np.maximum(H[:, i - 1, j] + gap_open, E[:, i - 1] + gap_extend)
-            left = np.maximum(H[:, i, j - 1] + gap_open, G[:, i] + gap_extend)
-            E, G = np.full_like(E, LOW), np.full_like(G, LOW)
+            up = np.maximum(H[:, i - 1, at(i - 1, j)] + gap_open, E[:, i - 1] + gap_extend)
+            left = np.maximum(H[:, i, at(i, j - 1)] + gap_open, G[:, i] + gap_extend)
+            near = slice(first - 1, last + 2)  # a diagonal's rows are its neighbour's, one more or less at either end
+            E[:, near], G[:, near] = LOW, LOW
             E[:, i], G[:, i] = up, left
         best = np.maximum(np.maximum(diagonal, up), left)
         way = np.where(diagonal == best, DIAGONAL, np.where(up == best, UP, LEFT))
         if mode == "local":
             way = np.where(best > 0, way, NONE)
             best = np.maximum(best, 0)
-        H[:, i, j], D[:, i, j] = best, way
+        H[:, i, at(i, j)], D[:, i, at(i, j)] = best, way
     return H, D
 
 
-def _end(mode: str, h: np.ndarray) -> tuple[int, int]:
-    m, n = h.shape[0] - 1, h.shape[1] - 1
+def _width(n: int, band: int | None) -> int:
+    """Columns that fill keeps of a row."""
+    return n + 1 if band is None else 2 * band + 3
+
+
+def _end(mode: str, h: np.ndarray, m: int, n: int) -> tuple[int, int]:
     if mode == "local":
         return divmod(int(np.argmax(h)), n + 1)
     if mode == "overlap":
@@ -97,16 +106,17 @@ def _end(mode: str, h: np.ndarray) -> tuple[int, int]:
     return m, n
 
 
-def _trace(mode: str, a: str, b: str, h: np.ndarray, d: np.ndarray, min_score: float, normalise: bool) -> tuple:
+def _trace(mode: str, a: str, b: str, h: np.ndarray, d: np.ndarray, min_score: float, normalise: bool, band: int | None = None) -> tuple:
     m, n = len(a), len(b)
-    ei, ej = i, j = _end(mode, h)
-    score = float(h[i, j])
+    ei, ej = i, j = _end(mode, h, m, n)
+    shift = 0 if band is None else band + 1
+    score = float(h[i, j if band is None else j - i + shift])
     if mode == "local" and score < min_score:
         return ("", "", 0.0, 0, 0, 0, 0, 0, 0.0, 0)
     tail = (a[i:] + "-" * (n - j), "-" * (m - i) + b[j:]) if mode in ("semi", "overlap") else ("", "")
     way = []
     while (i > 0 and j > 0 and h[i, j] > 0) if mode == "local" else (i > 0 or j > 0):
-        step = d[i, j]
+        step = d[i, j if band is None else j - i + shift]
         if step == DIAGONAL and i and j:
             i, j = i - 1, j - 1
             way.append((a[i], b[j]))
@@ -148,20 +158,22 @@ def align_batch(mode: str, s1: list[str], s2: list[str], matrix: str | Matrix =
         if bandwidth < 0 or any(abs(len(x) - len(y)) > bandwidth for x, y in zip(s1, s2, strict=True)):
             raise ValueError("sequences differ in length by more than the bandwidth")
     out: list[tuple] = [()] * len(s1)
+    band = bandwidth if mode == "banded" else None
     order = sorted(range(len(s1)), key=lambda i: (len(s1[i]), len(s2[i])))
     at = 0
     while at < len(order):
         take = [order[at]]
         while at + len(take) < len(order):
             nxt = [*take, order[at + len(take)]]
-            if len(nxt) * (max(len(s1[i]) for i in nxt[-1:]) + 1) * (max(len(s2[i]) for i in nxt) + 1) * 9 > CELLS or len(nxt) > 512:
+            if len(nxt) * (max(len(s1[i]) for i in nxt[-1:]) + 1) * _width(max(len(s2[i]) for i in nxt), band) * 9 > CELLS or len(nxt) > 512:
                 break
             take = nxt
         at += len(take)
-        H, D = fill(mode, [s1[i] for i in take], [s2[i] for i in take], table, gap_open, gap_extend, bandwidth if mode == "banded" else None)
+        H, D = fill(mode, [s1[i] for i in take], [s2[i] for i in take], table, gap_open, gap_extend, band)
         for r, i in enumerate(take):
             m, n = len(s1[i]), len(s2[i])
-            out[i] = _trace(mode, s1[i], s2[i], H[r, : m + 1, : n + 1], D[r, : m + 1, : n + 1], min_score, per_column)
+            columns = _width(n, band)
+            out[i] = _trace(mode, s1[i], s2[i], H[r, : m + 1, :columns], D[r, : m + 1, :columns], min_score, per_column, band)
     return out
 
 

@@ -672,16 +672,21 @@ def align_self(spark: SparkSession, d: str) -> DataFrame:
     return AL.align(x, "global", normalise=False).select("id", "score", "alignment_length", F.col("aligned_seq1").alias("aligned"))
 
 
+def _worth_sql() -> str:
+    """BLOSUM62 of the letters x and y."""
+    from strandlake.functions.tables import get_matrix
+
+    table = get_matrix("BLOSUM62")
+    letters = sorted({a for a, _ in table})
+    return f"CASE WHEN strpos('{''.join(letters)}', x) * strpos('{''.join(letters)}', y) > 0 THEN [{', '.join(str(table[a, b]) for a in letters for b in letters)}][(strpos('{''.join(letters)}', x) - 1) * {len(letters)} + strpos('{''.join(letters)}', y)] ELSE 0 END"
+
+
 def _align_sql(mode: str, gap_open: int = -10, gap_extend: int = -1, bandwidth: int | None = None) -> str:
     """A cell a step, in reading order, of every pair; then a step of the way back at a time.
 
     Lists hold the cells so far: the score, the way (0 none, 1 both, 2 first, 3 second) and the best gaps that end there.
     """
-    from strandlake.functions.tables import get_matrix
-
-    table = get_matrix("BLOSUM62")
-    letters = sorted({a for a, _ in table})
-    worth = f"CASE WHEN strpos('{''.join(letters)}', x) * strpos('{''.join(letters)}', y) > 0 THEN [{', '.join(str(table[a, b]) for a in letters for b in letters)}][(strpos('{''.join(letters)}', x) - 1) * {len(letters)} + strpos('{''.join(letters)}', y)] ELSE 0 END"
+    worth = _worth_sql()
     low, clean, single = "CAST(-1e18 AS DOUBLE)", mode in ("global", "local"), mode in ("global", "local")
     ramp = lambda k, open_: f"{gap_open} + ({k} - 1) * {gap_extend}" if open_ else "0"
     top, side = mode in ("global", "banded"), mode in ("global", "banded", "overlap")
@@ -734,4 +739,30 @@ def _align(mode: str, **options):
 
 for _mode, _options in (("global", {}), ("local", {}), ("semi", {}), ("overlap", {}), ("banded", {"bandwidth": 10})):
     query(_align_sql(_mode, **_options))(_align(_mode, **_options))
-query()(_align("hirschberg"))
+
+
+def _halving_sql(gap: int = -1, levels: int = 5) -> str:
+    """The first sequence is halved until single letters remain; a level is a table of the parts so far, in order.
+
+    Of each part, the rows of scores of its halves (side 0 in order, side 1 against the reversed second sequence) are
+    filled a cell a step, and the second sequence is cut where their sum is first greatest.
+    """
+    worth = _worth_sql()
+    parts = "s0 AS (SELECT n_nationkey AS id, '' AS place, n_name AS s, r_name AS t FROM nation JOIN region ON n_regionkey = r_regionkey)"
+    for v in range(levels):
+        parts += f""",
+u{v} AS (SELECT id, place, side, CAST(length(x) AS INT) AS m, CAST(length(y) AS INT) AS n, x AS u, y AS v FROM (SELECT id, place, 0 AS side, substr(s, 1, length(s) // 2) AS x, t AS y FROM s{v} WHERE length(s) > 1 AND t <> '' UNION ALL SELECT id, place, 1, substr(s, length(s) // 2 + 1), reverse(t) FROM s{v} WHERE length(s) > 1 AND t <> '')),
+f{v} AS (SELECT id, place, side, 0 AS k, [0] AS h FROM u{v} UNION ALL SELECT id, place, side, k + 1, list_append(h, CAST(CASE WHEN i * j = 0 THEN (i + j) * {gap} ELSE greatest(h[k - n] + {worth}, h[k + 1 - n] + {gap}, h[k + 1] + {gap}) END AS INT))
+FROM (SELECT f.id, f.place, f.side, k, h, n, (k + 1) // (n + 1) AS i, (k + 1) % (n + 1) AS j, upper(substr(u, (k + 1) // (n + 1), 1)) AS x, upper(substr(v, (k + 1) % (n + 1), 1)) AS y FROM f{v} AS f JOIN u{v} AS u ON f.id = u.id AND f.place = u.place AND f.side = u.side WHERE k + 1 < (m + 1) * (n + 1))),
+r{v} AS (SELECT f.id, f.place, f.side, n, h[CAST(m * (n + 1) + 1 AS INT):] AS h FROM f{v} AS f JOIN u{v} AS u ON f.id = u.id AND f.place = u.place AND f.side = u.side WHERE k + 1 = (m + 1) * (n + 1)),
+c{v} AS (SELECT id, place, list_position(q, list_max(q)) - 1 AS cut FROM (SELECT a.id, a.place, [a.h[CAST(j + 1 AS INT)] + b.h[CAST(a.n + 1 - j AS INT)] FOR j IN range(0, a.n + 1)] AS q FROM r{v} AS a JOIN r{v} AS b ON a.id = b.id AND a.place = b.place WHERE a.side = 0 AND b.side = 1)),
+s{v + 1} AS (SELECT s.* FROM s{v} AS s ANTI JOIN c{v} USING (id, place) UNION ALL SELECT id, place || '0', substr(s, 1, length(s) // 2), substr(t, 1, cut) FROM s{v} JOIN c{v} USING (id, place) UNION ALL SELECT id, place || '1', substr(s, length(s) // 2 + 1), substr(t, cut + 1) FROM s{v} JOIN c{v} USING (id, place))"""
+    return f"""WITH RECURSIVE {parts},
+w AS (SELECT *, [{worth} FOR y IN string_split(upper(t), '')] AS q FROM (SELECT *, upper(s) AS x FROM s{levels})),
+l AS (SELECT *, CASE WHEN list_max(q) + (length(t) - 1) * {gap} > (length(t) + 1) * {gap} THEN list_position(q, list_max(q)) - 1 ELSE 0 END AS c FROM w),
+e AS (SELECT id, string_agg(CASE WHEN t = '' THEN s ELSE repeat('-', c) || s || repeat('-', length(t) - c - 1) END, '' ORDER BY place) AS aligned_seq1, string_agg(CASE WHEN t = '' THEN repeat('-', length(s)) ELSE t END, '' ORDER BY place) AS aligned_seq2 FROM l GROUP BY id),
+z AS (SELECT id, CAST(sum(CASE WHEN x = '-' OR y = '-' THEN {gap} ELSE {worth} END) AS DOUBLE) AS score, CAST(count(*) FILTER (x = y AND x <> '-') AS INT) AS identity, CAST(count(*) AS INT) AS alignment_length FROM (SELECT id, upper(aligned_seq1[CAST(i AS INT)]) AS x, upper(aligned_seq2[CAST(i AS INT)]) AS y FROM e, unnest(range(1, length(aligned_seq1) + 1)) AS r(i)) GROUP BY id)
+SELECT id, s AS seq1, t AS seq2, aligned_seq1, aligned_seq2, score, CAST(0 AS INT) AS start_pos1, CAST(0 AS INT) AS start_pos2, CAST(length(s) AS INT) AS end_pos1, CAST(length(t) AS INT) AS end_pos2, identity, CAST(100 AS DOUBLE) * identity / alignment_length AS identity_percent, alignment_length FROM s0 JOIN e USING (id) JOIN z USING (id)"""
+
+
+query(_halving_sql())(_align("hirschberg"))

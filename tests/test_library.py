@@ -155,6 +155,33 @@ def test_alignment():
         T.get_matrix("nope")
 
 
+def _banded(a, b, table, gap_open, gap_extend, band):
+    """The best score inside the band, a cell at a time."""
+    low = -1e18
+    h, e, g = {(0, 0): 0.0}, {}, {}
+    for k in range(1, band + 1):
+        h[0, k] = h[k, 0] = gap_open + (k - 1) * gap_extend
+    for i in range(1, len(a) + 1):
+        for j in range(max(1, i - band), min(len(b), i + band) + 1):
+            e[i, j] = max(h.get((i - 1, j), low) + gap_open, e.get((i - 1, j), low) + gap_extend)
+            g[i, j] = max(h.get((i, j - 1), low) + gap_open, g.get((i, j - 1), low) + gap_extend)
+            h[i, j] = max(h.get((i - 1, j - 1), low) + table[ord(a[i - 1]), ord(b[j - 1])], e[i, j], g[i, j])
+    return h[len(a), len(b)]
+
+
+def test_banded_alignment():
+    r = random.Random(11)
+    table = AL.score_table("DNA_SIMPLE")
+    for band in (0, 1, 3, 40):
+        xs = ["".join(r.choice("ACGT") for _ in range(r.randrange(4, 30))) for _ in range(30)]
+        ys = ["".join(r.choice("ACGT") for _ in range(len(x) + r.randrange(-min(band, 3), min(band, 3) + 1))) for x in xs]
+        for x, y, res in zip(xs, ys, AL.align_batch("banded", xs, ys, "DNA_SIMPLE", -3, -1, bandwidth=band), strict=True):
+            assert res[2] == _banded(x, y, table, -3, -1, band)
+            assert res[0].replace("-", "") == x and res[1].replace("-", "") == y
+    long = AL.fill("banded", ["A" * 3000], ["A" * 3000], table, -3, -1, 10)
+    assert sum(x.nbytes for x in long) < 3001 * 9 * 24
+
+
 def test_alignment_laws():
     r = random.Random(5)
     make = lambda: "".join(r.choice("ACGT") for _ in range(r.randrange(1, 25)))
@@ -246,7 +273,7 @@ def test_vcf_header(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["complements", "kmer_count", "minimizers", "graph_stats", "six_frames", "orfs", "seq_stats", "fastq_roundtrip", "gff_roundtrip", "cigar_aligned", "newick_stats", "genbank_features"])
+@pytest.mark.parametrize("name", ["complements", "kmer_count", "minimizers", "graph_stats", "six_frames", "orfs", "seq_stats", "fastq_roundtrip", "gff_roundtrip", "cigar_aligned", "newick_stats", "genbank_features", "align_global", "align_local", "align_semi", "align_overlap", "align_banded", "align_hirschberg"])
 def test_catalogue(spark, name):
     import duckdb
 
