@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm._spark import table, tune
-from strandlake.llm._text import BYTE, LOWER, SPACE, blocks, buffers, splitmix
+from strandlake.llm._text import BLOCK, BYTE, LOWER, SPACE, blocks, buffers, splitmix
 
 BUCKETS = 1 << 15
 #: Labelled rows that a model is fitted on, at most; chosen by a hash of the key.
@@ -34,8 +34,9 @@ _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 _EDGE = SPACE[_FOLD]
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray, n_buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte n-grams of each row and their bounds by row.  n-grams of white space only don't count."""
+def ngrams(data: np.ndarray, offsets: np.ndarray, n_buckets: int = BUCKETS, until: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte n-grams of each row and their bounds by row; with until, of those that start before that byte.
+    n-grams of white space only don't count."""
     n = len(data)
     folded = _FOLD[data]
     edge = _EDGE[data]
@@ -52,6 +53,8 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, n_buckets: int = BUCKETS) -> t
             inner |= edge[j : n - k + 1 + j]
         bad = edge[: n - k + 1] & edge[k - 1 :] if k == 2 else inner
         ok = ~bad & (row[: n - k + 1] == row[k - 1 :])
+        if until is not None:
+            ok[until:] = False
         if k in ORDERS:
             out.append((splitmix(value[ok]) >> _U(64 - int(n_buckets - 1).bit_length())).astype(np.int32))
             owners.append(row[: n - k + 1][ok])
@@ -71,7 +74,17 @@ class Model:
     bias: np.ndarray
     reject_below: float
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def scores(self, data: np.ndarray, offsets: np.ndarray, piece: int = BLOCK) -> np.ndarray:
+        """Probabilities of the labels for each row.  A text longer than a piece, which `blocks` leaves alone, is summed
+        piece by piece, so that memory doesn't grow with it."""
+        if len(offsets) == 2 and len(data) > piece:
+            total, n = np.zeros((1, len(self.labels))), 0
+            for at in range(0, len(data), piece):
+                part = data[at : at + piece + max(ORDERS) - 1]
+                bucket, _ = ngrams(part, np.array([0, len(part)]), len(self.table), piece)
+                total += self.table[bucket].sum(axis=0, dtype=np.float64)
+                n += len(bucket)
+            return softmax(total / max(n, 1) + self.bias)
         bucket, bounds = ngrams(data, offsets, len(self.table))
         total = np.zeros((len(offsets) - 1, len(self.labels)))
         n = np.diff(bounds)

@@ -149,6 +149,17 @@ def test_language(docs):
     assert langid.fit([], []).labels == ["und"]
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 4, 7, 64, 1000])
+def test_language_of_long_texts_in_pieces(piece):
+    text = np.frombuffer(("the cat  and\nthe dog, d\u00fcrfen ja " * 20 + "x" * 90).encode(), dtype=np.uint8)
+    bounds = np.array([0, len(text)])
+    whole, _ = langid.ngrams(text, bounds)
+    parts = [langid.ngrams(p, np.array([0, len(p)]), until=piece)[0] for p in (text[i : i + piece + 3] for i in range(0, len(text), piece))]
+    assert sorted(np.concatenate(parts)) == sorted(whole)
+    model = langid.fit(["the cat and the dog"] * 30 + ["der hund und die katze"] * 30, ["en"] * 30 + ["de"] * 30)
+    assert np.allclose(model.scores(text, bounds, piece), model.scores(text, bounds), rtol=1e-9)
+
+
 def test_quality(docs):
     model = quality.fit(["good plain words here"] * 40 + ["### $$$ ### $$$"] * 40, [1] * 40 + [0] * 40)
     got = {r.doc_id: r.score for r in quality.score(docs, model, "weight").select("doc_id", F.col("weight").alias("score")).collect()}
