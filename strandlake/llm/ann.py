@@ -29,6 +29,8 @@ TABLES = 40
 TARGET = 0.96
 #: Rows that are searched exhaustively to choose hashes and probes, and rows that the work is estimated on.
 SAMPLE_QUERIES, SAMPLE_ROWS = 128, 4096
+#: Numbers that the sample's rows may have together: the driver holds them.
+SAMPLE_NUMBERS = 1 << 20
 #: Hashes a table may have, and for each number the best axes of a hash that probes combine (None: all).
 AXES = {1: None, 2: 64, 3: 24}
 #: Work of a probed bucket, in candidates.
@@ -161,11 +163,19 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(axis=1))
 
 
-def choose(entries: DataFrame, n: int, tables: int, seed: int, target: float, top: int, hashes: int | None = None) -> Setting:
-    """Hashes and probes for the entries (entry, v), measured on a bounded sample of them."""
-    picked = entries.orderBy(F.xxhash64("entry", F.lit(seed)), "entry").limit(SAMPLE_ROWS).collect()
-    rows = np.array([r.v for r in picked])
-    ids, queries = np.array([r.entry for r in picked[:SAMPLE_QUERIES]]), rows[:SAMPLE_QUERIES]
+def least_hashes(entries: DataFrame, n: int, rows: int, seed: int) -> DataFrame:
+    """Some twice as many of the n entries as rows, among them the rows of least hash: so tasks don't send rows each."""
+    if n <= 2 * rows:
+        return entries
+    return entries.where(F.xxhash64("entry", F.lit(seed)) < -(1 << 63) + (rows << 65) // n)
+
+
+def choose(entries: DataFrame, n: int, dims: int, tables: int, seed: int, target: float, top: int, hashes: int | None = None) -> Setting:
+    """Hashes and probes for the n entries (entry, v) of dims numbers, measured on a bounded sample of them."""
+    most = max(SAMPLE_QUERIES, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dims))
+    picked = least_hashes(entries.select("entry", "v"), n, most, seed).orderBy(F.xxhash64("entry", F.lit(seed)), "entry").limit(most).toArrow()
+    rows = _matrix(picked.column("v").combine_chunks())
+    ids, queries = picked.column("entry").to_numpy()[:SAMPLE_QUERIES], rows[:SAMPLE_QUERIES]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.zeros(0), np.zeros((0, queries.shape[1])))] * len(queries)
@@ -181,12 +191,26 @@ def choose(entries: DataFrame, n: int, tables: int, seed: int, target: float, to
         yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([d for d, _ in best])), pa.array([row for _, v in best for row in v.tolist()], pa.list_(pa.float64()))], names=["q", "d", "v"])
 
     found = entries.select("entry", "v").mapInArrow(scan, "q long, d double, v array<double>")
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d"))).where(F.col("r") <= top).collect()
-    owner, neighbours = np.array([r.q for r in found], dtype=np.int64), np.array([r.v for r in found])
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d"))).where(F.col("r") <= top).toArrow()
+    owner, neighbours = found.column("q").to_numpy(), _matrix(found.column("v").combine_chunks())
     settings = [measure(queries, owner, neighbours, rows, n, k, tables, seed, target) for k in ([hashes] if hashes else AXES)]
     return min(settings, key=lambda s: (s.recall < target, s.candidates + PROBE_WORK * tables * s.probes))
 
 
+def bucket_lists(indexed: DataFrame, block: int) -> DataFrame:
+    """t, bucket, part and entries of each bucket of the index (entry, t, bucket), a large one in several parts."""
+    # The driver gets the large buckets at most, a few for each block of the index: all of them may be as many as its rows.
+    large = indexed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("entry"), F.coalesce("parts", F.lit(1))).cast("int")
+    return indexed.join(large, ["t", "bucket"], "left").groupBy("t", "bucket", part.alias("part")).agg(F.collect_list("entry").alias("entries"))
+
+
+def probed_lists(probed: DataFrame, listed: DataFrame) -> DataFrame:
+    """query and entries of each list that a probe (query, t, bucket) meets."""
+    # Spark takes the probes to be as large as the queries that they are made of, and would send all to the driver.
+    return probed.hint("merge").join(listed, ["t", "bucket"]).select("query", "entries")
+
+
 def search(vectors: DataFrame, queries: Column, top: int = TOP, tables: int = TABLES, target: float = TARGET, block: int = BLOCK, seed: int = 29, hashes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's nearest rows found.
 
@@ -208,7 +232,7 @@ def search(vectors: DataFrame, queries: Column, top: int = TOP, tables: int = TA
     n = entries.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    setting = choose(entries, n, tables, seed, target, top, hashes)
+    setting = choose(entries, n, usual.dims, tables, seed, target, top, hashes)
     asked = rows.where(queries).join(entries.select("v", "entry"), "v").select(F.col("vec_id").alias("query_id"), "entry")
     asked = scratch.write(asked, "asked")
     wanted = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select(F.col("entry").alias("query"), F.col("v").alias("qv"))
@@ -229,15 +253,13 @@ def search(vectors: DataFrame, queries: Column, top: int = TOP, tables: int = TA
 
     indexed = scratch.write(entries.select("entry", "v").mapInArrow(index, "entry long, t int, bucket long"), "index")
     # A bucket is a list of its entries, a large one several; a probe gets whole lists.
-    sizes = indexed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")
-    listed = indexed.join(sizes, ["t", "bucket"]).groupBy("t", "bucket", part.alias("part")).agg(F.collect_list("entry").alias("entries"))
+    listed = bucket_lists(indexed, block)
     probed = wanted.mapInArrow(probe, "query long, t int, bucket long")
     homes = max(1, -(-n // block))
     # The distinct candidates of a query and a share of all blocks of vectors, however often probes met them, ...
     shares = max(1, -(-homes // HOMES))
     of_share = lambda x, i: F.pmod(F.xxhash64(x, F.lit(1)), F.lit(shares)) == i
-    met = probed.join(listed, ["t", "bucket"]).select("query", "entries")
+    met = probed_lists(probed, listed)
     if shares > 1:
         met = met.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("entries", F.filter("entries", lambda x: of_share(x, F.col("share")))).where(F.size("entries") > 0)
     else:

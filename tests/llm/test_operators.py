@@ -278,6 +278,32 @@ def test_neighbours_of_equal_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 1).count() == 0
 
 
+def test_neighbours_leave_the_driver_little(spark):
+    """The sample comes from few rows of each task, probes aren't broadcast, and of buckets only the large ones may be."""
+    entries = spark.range(20_000).select(F.col("id").alias("entry"), F.array(F.lit(1.0)).alias("v"))
+    by_hash = (F.xxhash64("entry", F.lit(29)), "entry")
+    some = ann.least_hashes(entries, 20_000, 100, 29)
+    assert 100 <= some.count() < 300
+    assert some.orderBy(*by_hash).limit(100).collect() == entries.orderBy(*by_hash).limit(100).collect()
+    assert ann.least_hashes(entries.limit(200), 200, 100, 29).count() == 200
+
+    indexed = spark.createDataFrame([(i, 0, i if i < 5 else 7) for i in range(100)], "entry long, t int, bucket long")
+    listed = ann.bucket_lists(indexed, 16)
+    got = listed.collect()
+    assert sorted((r.bucket, e) for r in got for e in r.entries) == sorted((r.bucket, r.entry) for r in indexed.collect())
+    assert sum(r.bucket == 7 for r in got) == 6 and [r.part for r in got if r.bucket < 5] == [0] * 5
+
+    def probe(batches):
+        for b in batches:
+            yield from [b] * 100
+
+    probed = spark.createDataFrame([(1, 0, 7)], "query long, t int, bucket long").mapInArrow(probe, "query long, t int, bucket long")
+    met = ann.probed_lists(probed, listed)
+    assert met.count() == 600
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [t" in plan and "BroadcastHashJoin [t" not in plan.split("SortMergeJoin [t")[0]
+
+
 def test_mixing(docs):
     got = {r.doc_id: r for r in mixing.mix(docs, 0.5).collect()}
     assert got[1].probability == got[2].probability and got[3].tokens == 0 and got[3].probability == 0.5
