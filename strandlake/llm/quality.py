@@ -134,8 +134,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     pool = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     once = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(pool), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    sample = bounded(once, F.xxhash64("doc_id")).toPandas().sort_values(["doc_id", "text"])
-    return fit(sample["text"].tolist(), sample["quality"].tolist())
+    return fit_sample(bounded(once, F.xxhash64("doc_id")))
+
+
+def fit_sample(sample: DataFrame) -> Model:
+    """Fits on the bounded sample (doc_id, text, quality) in one task: the driver gets the model only, not the texts and
+    their features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if any(b.num_rows for b in parts):
+            rows = pa.Table.from_batches(parts).to_pandas().sort_values(["doc_id", "text"])
+            m = fit(rows["text"].tolist(), rows["quality"].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([m.weight.tobytes()]), pa.array([m.bias])], names=["weight", "bias"])
+
+    found = sample.select("doc_id", "text", "quality").coalesce(1).mapInArrow(run, "weight binary, bias double").first()
+    return Model(np.frombuffer(found.weight), found.bias) if found else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

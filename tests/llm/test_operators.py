@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 
 import numpy as np
 import pytest
@@ -278,6 +279,23 @@ def test_neighbours_of_equal_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 1).count() == 0
 
 
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """Neither the sample nor its features come to the driver; the model is that of a fit in place."""
+    rows = [(i, "good plain words here" if i % 3 else "### $$$ ### $$$", int(i % 3 > 0)) for i in range(60)]
+    sample = spark.createDataFrame(rows[::-1], "doc_id long, text string, quality int").repartition(5)
+    got, want = quality.fit_sample(sample), quality.fit([r[1] for r in rows], [r[2] for r in rows])
+    assert np.array_equal(got.weight, want.weight) and got.bias == want.bias
+    none = quality.fit_sample(sample.limit(0))
+    assert not none.weight.any() and none.bias == 0
+
+    def fit(texts, labels):
+        return quality.Model(np.zeros(1), float(os.getpid()))
+
+    monkeypatch.setattr(quality, "fit", fit)
+    docs = sample.select("doc_id", "text")
+    assert quality.train(docs, sample.select("doc_id", "quality")).bias != float(os.getpid())
+
+
 def test_neighbours_leave_the_driver_little(spark):
     """The sample comes from few rows of each task, probes aren't broadcast, and of buckets only the large ones may be."""
     entries = spark.range(20_000).select(F.col("id").alias("entry"), F.array(F.lit(1.0)).alias("v"))
