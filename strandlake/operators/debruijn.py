@@ -2,24 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from strandlake.functions.sequence import canonical
-from strandlake.operators.kmers import check_k, kmer_rows
+from strandlake.functions.sequence import canonical, normalise
+from strandlake.functions.windows import LETTERS, pieces, points, ranks, window_codes
+from strandlake.operators.kmers import check_k
 from strandlake.session import shared_dir
 
 
+def _count(k: int, letters: int):
+    """Batches of id and sequence, in order of id, to mer, n, id and pos: how often and where first a piece has each k-mer
+    together with the letter after it; the last k-mer of a row stands alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, known = batch.column(0), batch.column(0).to_pylist()
+            same = np.cumsum([False] + [a != b for a, b in pairwise(known)])  # rows of one id
+            for rows, begins, parts in pieces(batch.column(1).to_pylist(), k, letters):
+                text = "".join(parts)
+                sizes = np.array([len(x) for x in parts])
+                of = np.repeat(np.arange(len(parts)), sizes)
+                at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                left = np.repeat(sizes, sizes) - at
+                x, base = ranks(points(text))
+                codes, bound = window_codes(x, base, k)
+                if bound * base >= 1 << 62:
+                    codes, bound = ranks(codes)
+                after = np.where(left > k, np.append(x[k:], np.zeros(k, dtype=np.int64)), 0)[: len(codes)]
+                place = np.flatnonzero((left >= k) & (at < letters))
+                codes = codes[place] * base + after[place]
+                group = same[rows]
+                if (group[1:] == group[:-1]).any():  # the least position of an id may be in a later row
+                    pos = at + np.array(begins)[of]
+                    order = np.lexsort((pos[place], group[of[place]]))
+                    place, codes = place[order], codes[order]
+                _, first, n = np.unique(codes, return_index=True, return_counts=True)
+                first = place[first]
+                part = of[first]
+                size = np.minimum(left[first], k + 1)
+                mers = [text[i : i + m] for i, m in zip(first.tolist(), size.tolist(), strict=True)]
+                pos = (at[first] + np.array(begins)[part]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(mers, pa.string()), pa.array(n.astype(np.int64)), ids.take(pa.array(np.array(rows)[part])), pa.array(pos)], names=["mer", "n", "id", "pos"])
+
+    return run
+
+
 def build(df: DataFrame, k: int, seq: str = "sequence", id_: str = "id", canonical_: bool = False, min_coverage: int = 1) -> tuple[DataFrame, DataFrame]:
-    """first_seen is (row id, position) of the first occurrence."""
+    """first_seen is (row id, position) of the first occurrence.
+
+    The sequences are read once: k-mers with the letter after them are counted and written down (checkpoint()), and both
+    tables come from them.
+    """
     check_k(k, 2)
-    rows = kmer_rows(df.select(F.col(id_).alias("id"), F.col(seq).alias("sequence")).where("sequence IS NOT NULL"), k, "sequence", canonical_, keep=("id",))
-    seen = F.min(F.struct("id", "pos")).alias("first_seen")
-    nodes = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("coverage"), seen)
-    # A k-mer and the next are a (k + 1)-mer of the row.
-    both = kmer_rows(df.select(F.col(id_).alias("id"), F.col(seq).alias("sequence")).where("sequence IS NOT NULL"), k + 1, "sequence", keep=("id",))
-    end = lambda i: canonical(F.substr("kmer", F.lit(i), F.lit(k))) if canonical_ else F.substr("kmer", F.lit(i), F.lit(k))
-    edges = both.groupBy(end(1).alias("src"), end(2).alias("dst")).agg(seen)
+    shared_dir(df.sparkSession)
+    rows = df.select(F.col(id_).alias("id"), normalise(F.col(seq)).alias("sequence")).where(F.length("sequence") >= k).sortWithinPartitions("id")
+    id_type = rows.schema["id"].dataType
+    counted = rows.mapInArrow(_count(k, LETTERS), StructType([StructField("mer", StringType()), StructField("n", LongType()), StructField("id", id_type), StructField("pos", IntegerType())]))
+    mers = counted.groupBy("mer").agg(F.sum("n").alias("n"), F.min(F.struct("id", "pos")).alias("first_seen")).checkpoint()
+    end = lambda i: canonical(F.substr("mer", F.lit(i), F.lit(k))) if canonical_ else F.substr("mer", F.lit(i), F.lit(k))
+    nodes = mers.groupBy(end(1).alias("kmer")).agg(F.sum("n").alias("coverage"), F.min("first_seen").alias("first_seen"))
+    edges = mers.where(F.length("mer") > k).select(end(1).alias("src"), end(2).alias("dst"), "first_seen")
+    # Otherwise a k-mer and the next are as many edges as (k + 1)-mers.
+    edges = edges.groupBy("src", "dst").agg(F.min("first_seen").alias("first_seen")) if canonical_ else edges
     return (nodes, edges) if min_coverage <= 1 else prune(nodes, edges, min_coverage)
 
 

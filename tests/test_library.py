@@ -109,6 +109,45 @@ def test_contigs(spark):
     assert sorted(x.contig for x in G.contigs(nodes, edges, 7).collect()) == contigs_of(reads, 7, 8)
 
 
+def counted(df):
+    """df with a count of the rows that were read from it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_contigs_read_sequences_once(spark):
+    df, seen = counted(frame(spark, "ACGTTGCATGTCGC", "TTGCATGTCGCAAA", "GGGATCCA").coalesce(1))
+    assert G.contigs(*G.build(df, 5, min_coverage=2), 5).count() == 1
+    assert seen.value == 3
+
+
+def test_graph_of_pieces(spark, monkeypatch):
+    """A sequence that is cut has the k-mers and edges of the whole; of rows that share an id the least position counts."""
+    r = random.Random(8)
+    rows = [(r.choice([None, 1, 2]), "".join(r.choice("ACGT") for _ in range(r.randrange(60)))) for _ in range(40)]
+    for k in (2, 5, 35):
+        nodes, edges = {}, {}
+        for id_, s in rows:
+            for i in range(len(s) - k + 1):
+                at = (id_ or 0, i)
+                n, first = nodes.get(s[i : i + k], (0, at))
+                nodes[s[i : i + k]] = n + 1, min(first, at)
+                if i + k < len(s):
+                    step = s[i : i + k], s[i + 1 : i + k + 1]
+                    edges[step] = min(edges.get(step, at), at)
+        for size in (1, 7, 1 << 20):
+            monkeypatch.setattr(G, "LETTERS", size)
+            got, steps = G.build(spark.createDataFrame(rows, "id int, sequence string").coalesce(1), k)
+            assert {x.kmer: (x.coverage, (x.first_seen.id or 0, x.first_seen.pos)) for x in got.collect()} == nodes
+            assert {(x.src, x.dst): (x.first_seen.id or 0, x.first_seen.pos) for x in steps.collect()} == edges
+
+
 def test_codes(spark):
     assert len(T.CODES) == 27
     assert T.codon_table("no such") == T.codon_table(1)
