@@ -127,6 +127,13 @@ def test_contigs_read_sequences_once(spark):
     assert seen.value == 3
 
 
+def test_tips_read_sequences_once(spark):
+    df, seen = counted(frame(spark, "ACGTTGCATGTCGC", "ACGTTGCATGTCGC", "TTGCATA").coalesce(1))
+    kept = G.remove_tips(*G.build(df, 5), 3)[0]
+    assert sorted(x.kmer for x in kept.collect()) == ["ACGTT", "ATGTC", "CATGT", "CGTTG", "GCATG", "GTCGC", "GTTGC", "TGCAT", "TGTCG", "TTGCA"]
+    assert seen.value == 3
+
+
 def test_graph_of_pieces(spark, monkeypatch):
     """A sequence that is cut has the k-mers and edges of the whole; of rows that share an id the least position counts."""
     r = random.Random(8)
