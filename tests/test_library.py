@@ -134,6 +134,14 @@ def test_tips_read_sequences_once(spark):
     assert seen.value == 3
 
 
+@pytest.mark.parametrize("min_coverage", [1])
+def test_graph_stats_read_sequences_once(spark, min_coverage):
+    df, seen = counted(frame(spark, *["ACGTTGCATGTCGC"] * 4, "TTGCATA").coalesce(1))
+    got = G.graph_stats(*G.build(df, 5, min_coverage=min_coverage)).first()
+    assert (got.node_count, got.edge_count, got.dead_ends) == ((11, 10, 2) if min_coverage == 1 else (10, 9, 1))
+    assert seen.value == 5
+
+
 def test_graph_of_pieces(spark, monkeypatch):
     """A sequence that is cut has the k-mers and edges of the whole; of rows that share an id the least position counts."""
     r = random.Random(8)
