@@ -134,7 +134,7 @@ def test_tips_read_sequences_once(spark):
     assert seen.value == 3
 
 
-@pytest.mark.parametrize("min_coverage", [1])
+@pytest.mark.parametrize("min_coverage", [1, 4])
 def test_graph_stats_read_sequences_once(spark, min_coverage):
     df, seen = counted(frame(spark, *["ACGTTGCATGTCGC"] * 4, "TTGCATA").coalesce(1))
     got = G.graph_stats(*G.build(df, 5, min_coverage=min_coverage)).first()
