@@ -57,3 +57,16 @@ def window_codes(letters: np.ndarray, base: int, k: int) -> tuple[np.ndarray, in
         codes = codes * base + letters[i : i + n]
         bound *= base
     return codes, bound
+
+
+def least_of_runs(values: np.ndarray, bound: int, w: int) -> np.ndarray:
+    """Where the least value of each run of w stands, the first of equal ones; values are from 0 to bound - 1."""
+    n = len(values)
+    if bound * max(n, 1) >= 1 << 62:
+        values, bound = ranks(values)
+    least, width = values * n + np.arange(n), 1
+    while width < w:
+        step = min(width, w - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return least % n

@@ -49,7 +49,7 @@ def _count(k: int, letters: int):
                 size = np.minimum(left[first], k + 1)
                 mers = [text[i : i + m] for i, m in zip(first.tolist(), size.tolist(), strict=True)]
                 pos = (at[first] + np.array(begins)[part]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(mers, pa.string()), pa.array(n.astype(np.int64)), ids.take(pa.array(np.array(rows)[part])), pa.array(pos)], names=["mer", "n", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(mers, batch.column(1).type), pa.array(n.astype(np.int64)), ids.take(pa.array(np.array(rows)[part])), pa.array(pos)], names=["mer", "n", "id", "pos"])
 
     return run
 

@@ -70,6 +70,45 @@ def test_minimizers(spark):
     assert M.minimizers(frame(spark, "ACG"), 2, 9).count() == 0
 
 
+def spelling_hash(x):
+    h = 0
+    for c in x:
+        h = (h * 31 + ord(c) + (1 << 31)) % (1 << 32) - (1 << 31)
+    return abs(h)
+
+
+@pytest.mark.parametrize("canonical", [False, True])
+def test_minimizers_of_pieces(spark, monkeypatch, canonical):
+    """A sequence that is cut has the minimizers of the whole, and none is computed by an expression for each k-mer."""
+    r = random.Random(9)
+    rows = [(r.choice([None, 1, 2]), "".join(r.choice("ACGTU" if i % 2 else "ACGTN\u00c9\U0001f600") for _ in range(r.randrange(60)))) for i in range(30)] + [(3, None), (3, "A" * 40)]
+    df = spark.createDataFrame(rows, "id int, sequence string").coalesce(1)
+    least = lambda x: min(x, x.translate(str.maketrans("AUGC", "UACG") if "U" in x else str.maketrans("ATGC", "TACG"))[::-1]) if canonical else x
+    for k, w in ((5, 10), (3, 1), (34, 2)):
+        for hash_, of, column in ((spelling_hash, M.hash_minimizers, "hash"), (str, M.minimizers, "kmer")):
+            want = []
+            for id_, s in rows:
+                kmers = [least(s[i : i + k]) for i in range(len(s or "") - k + 1)]
+                found = {min((hash_(x), i, x) for i, x in enumerate(kmers[j : j + w], j)) for j in range(len(kmers) - w + 1)}
+                want += [(id_ or 0, *x) for x in found]
+            for size in (1, 7, 1 << 20):
+                monkeypatch.setattr(M, "LETTERS", size, raising=False)
+                got = of(df, k, w, canonical_=canonical)
+                assert sorted((x.id or 0, x[column], x.pos, x.kmer) for x in got.collect()) == sorted(want)
+                assert "array_min" not in got._jdf.queryExecution().toString()
+
+
+def test_minimizer_arrays(spark, monkeypatch):
+    monkeypatch.setattr(M, "LETTERS", 3, raising=False)
+    df = frame(spark, "ATCGATCGATCG", None, "", "AAAAAAAAAA", "ATC").coalesce(1)
+    got = df.select("id", M.minimizer_array(F.col("sequence"), 3, 4).alias("a"))
+    want = {i: [x.kmer for x in M.minimizers(df.where(F.col("id") == i), 3, 4).orderBy("pos").collect()] for i in range(5)}
+    assert {x.id: x.a for x in got.collect()} == want and len(want[3]) == 5 and want[1] == want[2] == want[4] == []
+    assert "array_min" not in got._jdf.queryExecution().toString()
+    custom = M.hash_minimizers(df, 3, 4, hash_=lambda c: -F.length(c))
+    assert sorted((x.id, x.pos) for x in custom.collect()) == [(i, j) for i, n in ((0, 7), (3, 5)) for j in range(n)]
+
+
 def contigs_of(reads, k, least):
     """An independent model: walk from every start node."""
     out, into, nodes = {}, {}, {}
@@ -157,7 +196,7 @@ def test_graph_of_pieces(spark, monkeypatch):
                     step = s[i : i + k], s[i + 1 : i + k + 1]
                     edges[step] = min(edges.get(step, at), at)
         for size in (1, 7, 1 << 20):
-            monkeypatch.setattr(G, "LETTERS", size)
+            monkeypatch.setattr(G, "LETTERS", size, raising=False)
             got, steps = G.build(spark.createDataFrame(rows, "id int, sequence string").coalesce(1), k)
             assert {x.kmer: (x.coverage, (x.first_seen.id or 0, x.first_seen.pos)) for x in got.collect()} == nodes
             assert {(x.src, x.dst): (x.first_seen.id or 0, x.first_seen.pos) for x in steps.collect()} == edges
