@@ -3,7 +3,9 @@
 import glob
 import os
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from strandlake.operators import align as AL
 from strandlake.operators import debruijn as G
 from strandlake.operators import kmers as K
 from strandlake.operators import minimizers as M
+from strandlake.operators import orfs as ORFS
 from strandlake.operators import stats as ST
 from strandlake.operators.orfs import find_orfs
 from strandlake.sources import fasta as FA
@@ -218,6 +221,20 @@ def test_orfs(spark):
     assert [(r.start, r.end) for r in got] == [(0, 9), (9, 18)]
 
 
+def test_orfs_come_in_pieces():
+    """What a worker holds is bounded by letters, not by the rows of a batch, and takes few bytes a letter."""
+    sequence = ("ATGGCCAAA" * 20 + "TAA") * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([sequence] * 400)], names=["id", "s"])
+    out, most = 0, 0
+    run = ORFS._kernel(["ATG"], ["TAA", "TAG", "TGA"], True, False, 30, 10000)
+    tracemalloc.start()
+    for b in run(iter([batch])):
+        out, most = out + b.num_rows, max(most, b.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out == 400 * 20 and most < 100 and peak < 1 << 20
+
+
 def test_stats(spark):
     df = spark.createDataFrame([("ACGTACGT", "########"), ("GGCC", "IIII"), ("AATTNNRR", "55555555")], "sequence string, quality string")
     s = ST.sequence_stats(df, quality="quality").first()
